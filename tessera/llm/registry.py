@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import ngram_join, suffix_dedup
 
 QUERIES = {
     "op8_ngram_jaccard_join": ngram_join.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
     "op8_ngram_jaccard_join": ngram_join.SQL,
