@@ -7,8 +7,8 @@ fragments give the candidates. For each
 candidate pair the overlaps of coarser fragments are counted apart and summed, and the exact ratio decides.
 
 Candidates of a group with an equal fragment are not all its pairs: first each member meets the group's smallest member.
-Only groups that the links found do not unite are then met pair by pair, between components, so no link between two
-components is lost, while a group of near copies costs as many pairs as it has members.
+What the links found leave apart within a group is then met across components, by the n-grams in which such sets differ most
+(rarest first, with the place of the first common one), so no link is lost, while near copies of one text hardly meet.
 """
 
 from __future__ import annotations
@@ -139,6 +139,28 @@ def _linked(pairs: DataFrame, shards: DataFrame, sizes: DataFrame, num: int, den
     return both.where(F.col("o") * den >= num * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _rare_first(sets: DataFrame, shards: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets (id, n, c) of different components c that may link.
+
+    With the n-grams of these sets ordered by rarity, a linked pair's first common n-gram leaves both enough n-grams, itself
+    included, for the overlap it needs. Copies of one text differ in their rarest n-grams, so few pairs pass.
+    """
+    gram = shards.join(sets, "id").select("id", "n", "c", F.explode("grams").alias("g"))
+    count = gram.groupBy("g").agg(F.count("*").alias("f"))
+    ordered = gram.join(count, "g").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+    prefix = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
+    first = ordered.select("id", "n", "c", F.posexplode(prefix)).where("col.f > 1").select("id", "n", "c", F.col("pos").alias("i"), F.col("col.g").alias("g"))
+    first = staged(first, "prefixes")
+    held = first.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    first = staged(first.join(held.select("g", F.col("top.c").alias("top")), "g"), "prefixes")
+    x, y = (first.select("g", "top", *(F.col(v).alias(f"{v}{k}") for v in ("id", "n", "c", "i"))) for k in "xy")
+    need = F.floor((num * (F.col("nx") + F.col("ny")) + num + den - 1) / (num + den))
+    # the largest component of an n-gram never meets itself
+    met = x.where("cx <> top").join(y.drop("top"), "g").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("idx") < F.col("idy"))))
+    met = met.where((F.col("nx") - F.col("ix") >= need) & (F.col("ny") - F.col("iy") >= need))
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """One row per document: (id, n_shingles, component), linking texts whose n-gram Jaccard is num/den or more.
 
@@ -171,13 +193,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shards = staged(base.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_shards(width), "id long, shard int, grams array<long>"), "shards")
     links = staged(_linked(pairs, shards, sizes, num, den), "links")
     found = components(links)
-    # groups that are still apart: pairs across their components, without those already refused
+    # members of groups that are still apart may link across their components
     tagged = groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    tagged = staged(tagged, "tagged")
     apart = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    tagged = staged(tagged.join(apart.select("key"), "key", "left_semi"), "apart")
-    x, y = (tagged.select("key", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "ab")
-    more = near(x.join(y, "key").where("a < b and ca <> cb"))
-    more = staged(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    open_ = staged(tagged.join(apart.select("key"), "key", "left_semi").select("id", "n", "c").distinct(), "apart")
+    more = _rare_first(open_, shards, num, den).join(pairs, ["a", "b"], "left_anti")
+    more = staged(more, "more")
     if not more.isEmpty():
         links = links.unionByName(staged(_linked(more, shards, sizes, num, den), "more-links"))
         found = components(links)
