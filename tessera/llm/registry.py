@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ngram_join, suffix_dedup
+from . import ngram_join, suffix_dedup, wavelet
 
 QUERIES = {
+    "op1_wavelet_shards": wavelet.query,
     "op8_ngram_jaccard_join": ngram_join.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
