@@ -11,7 +11,7 @@ def write_file(folder: str, name: str, parts: list[bytes]) -> str:
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     held = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(held) as out:
+    with system.open_output_stream(held, compression=None) as out:
         for part in parts:
             out.write(part)
     system.move(held, f"{path}/{name}")  # a retried task replaces the same name with the same bytes
@@ -20,5 +20,5 @@ def write_file(folder: str, name: str, parts: list[bytes]) -> str:
 
 def read_file(uri: str) -> bytes:
     system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()
