@@ -41,6 +41,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 256):
+    """The same rows in small batches, so that a worker never holds the Python objects of many texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_key(text: str = "text") -> F.Column:
     """16 bytes that stand for a text; null counts as the empty text."""
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32))

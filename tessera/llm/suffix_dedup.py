@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, staged, text_key
+from .common import read, sliced, staged, text_key
 
 LENGTH, CELL = 400, 8
 PIECE = 1 << 18  # bytes hashed at once; positions must fit in 20 bits
-HOT = 20_000
-BUCKET = 400_000  # symbols of one suffix array
+HOT = 10_000
+BUCKET = 200_000  # symbols of one suffix array
 ODD = (0xD1342543DE82EF95, 0x9FB21C651E98DF25)
 TABLES = [np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
 
@@ -128,7 +128,7 @@ ANCHOR = "key binary, s long, e long, p long, h long, u long"
 
 def _anchor_rows(length: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             for parts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
                 ends = np.cumsum([len(x) for _, _, x in parts])
                 s, e, p, h, u = anchors(np.frombuffer(b"".join(x for _, _, x in parts), np.uint8), ends, length, gram)
@@ -148,7 +148,7 @@ def _cell_rows(length: int):
     """Cells of the anchors listed with each text. ``at`` is where the core starts; its windows start lo..hi bytes before it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = batch.to_pydict()
             out: list[tuple] = []
             for key, text, runs in zip(cols["key"], cols["text"], cols["runs"]):
@@ -164,7 +164,7 @@ def _cell_rows(length: int):
                     c1, c2 = (hashes.of(i, at - s, end - s).view(np.int64) for i in (0, 1))
                     for a, x, y, m, n, z in zip(at.tolist(), lo.tolist(), hi.tolist(), c1.tolist(), c2.tolist(), end.tolist()):
                         out.append((key, a, x, y, own, m, n, data[a - y : a], data[z : z + CELL - 1 - x]))
-                if len(out) > 20_000:
+                if len(out) > 4_000:
                     yield _batch(out)
                     out = []
             if out:
@@ -307,7 +307,7 @@ def _kept(data: bytes, ranges) -> bytes:
 
 def _digests(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols, out = batch.to_pydict(), []
             for i, text, windows in zip(cols["id"], cols["text"], cols["windows"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -332,7 +332,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _cut(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index("text")
             texts = [t if w is None or t is None else _kept(t.encode("utf-8", "surrogatepass"), merged(w, length)).decode("utf-8", "ignore") for t, w in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
