@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, staged
+from .common import components, read, sliced, staged
 
 SHARDS = 8  # fragments in which overlaps are counted
 GROWTH = 1.4  # sizes of one class differ by this factor at most
@@ -42,7 +42,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     known = _WORDS
-    if len(known) > 2_000_000:
+    if len(known) > 300_000:
         known.clear()
     for w in words:
         if w not in known:
@@ -96,7 +96,7 @@ def _fragment_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _summaries(width: int, num: int, den: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, n, digest, keys = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, width)
@@ -112,7 +112,7 @@ def _summaries(width: int, num: int, den: int):
 
 def _shards(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out_id, out_shard, parts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingle_hashes(text, width)
