@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ngram_join, suffix_dedup, wavelet
+from . import ngram_join, suffix_dedup, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
+    "op5_warc_source": warc.query,
     "op8_ngram_jaccard_join": ngram_join.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
+    "op5_warc_source": warc.SQL,
     "op8_ngram_jaccard_join": ngram_join.SQL,
 }
