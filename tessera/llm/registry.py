@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_join, suffix_dedup, warc, wavelet
+from . import media, ngram_join, suffix_dedup, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
     "op5_warc_source": warc.query,
     "op8_ngram_jaccard_join": ngram_join.query,
+    "op9_media_chunks": media.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
