@@ -8,6 +8,7 @@ Access, rank (count) and select (occurrence lookup) need only the planes and the
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,13 +26,14 @@ MAGIC = b"WVMX0001"
 BLOCK = 512
 SHARD_TOKENS = 4_000_000
 END_ID = 1
+READERS = 4096  # tasks at most that read shards, one shard or more each
 NO_ID = np.iinfo(np.int64).min  # stands for a null document id
 
 
 def _planes(ids: np.ndarray, bits: int):
     """(packed bits, zeros) from the highest bit down; each plane leaves the sequence parted, zeros first."""
     for b in range(bits - 1, -1, -1):
-        one = (ids >> b) & 1 == 1
+        one = (ids & ids.dtype.type(1 << b)).astype(bool)
         zero = ids[~one]
         yield np.packbits(one, bitorder="little"), len(zero)
         ids = np.concatenate((zero, ids[one]))
@@ -46,8 +48,9 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        ids = np.asarray(ids, np.uint32)
+        ids = np.asarray(ids)
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         made = list(_planes(ids, bits))
         return cls(len(ids), [p for p, _ in made], [z for _, z in made], [cls._sums(p) for p, _ in made])
 
@@ -159,27 +162,57 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return head[:n], head[n:], WaveletMatrix.from_bytes(data[24 + size :])
 
 
+_STOPS = frozenset(".,")
+
+
 class Encoder:
     """The library's ids of whole texts, from its ids of the runs between spaces and line ends.
 
     No pattern or merge of this kind of tokenizer (normalizer NFC, white space, lower case; split by character class) reaches over
-    white space, so the ids of a text are those of its runs in order. Runs repeat; each is encoded once while it is remembered.
+    white space, so the ids of a text are those of its runs in order; nor does one reach from letters to a full stop or comma
+    after them. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered`` new ones were, and
+    as many before them.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(path), {}, remembered
+        self.tokenizer, self.known, self.before, self.remembered = Tokenizer.from_file(path), {}, {}, remembered
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
 
+    def _learn(self, runs: list[str]) -> None:
+        known, before = self.known, self.before
+        new, ends = set(), []
+        for run in runs:
+            got = before.get(run)
+            if got is not None:
+                known[run] = got
+            elif run[-1:] in _STOPS and run[:-1].isalpha():
+                ends.append(run)
+                new.add(run[:-1])
+                new.add(run[-1])
+            else:
+                new.add(run)
+        new = [r for r in new if r not in known]
+        words = [r for r in new if r.isalpha() and (r.isascii() or r.lower().isalpha() and unicodedata.is_normalized("NFC", r))]
+        # each of those is one word for the library, so many can be one text
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, self.kind).tobytes()
+            size = self.kind.itemsize
+            cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * size).tolist()
+            known.update((w, ids[a:b]) for w, a, b in zip(part, cut, cut[1:]))
+        rest = list(set(new).difference(words))
+        known.update((r, np.array(got.ids, self.kind).tobytes()) for r, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
+        known.update((r, known[r[:-1]] + known[r[-1]]) for r in ends)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.remembered:
-            self.known = {}
-        new = list(set().union(*runs).difference(self.known))
-        for run, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[run] = np.array(got.ids, self.kind).tobytes()
+            self.known, self.before = {}, self.known
+        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self._learn(list(set().union(*runs).difference(self.known)))
         find = self.known.__getitem__
         return [b"".join(map(find, x)) for x in runs]
 
@@ -253,7 +286,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files of a manifest: where its ids start in the whole sequence, how many, their CRC-32."""
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     placed = manifest.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("start"))
-    return placed.repartition(F.col("path")).mapInArrow(_read, READ)
+    tasks = max(1, min(manifest.count(), READERS))
+    return placed.repartition(tasks).mapInArrow(_read, READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
