@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import media, ngram_join, suffix_dedup, warc, wavelet
+from . import embedding_dedup, language, media, ngram_join, suffix_dedup, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_wavelet_shards": wavelet.query,
+    "op3_embedding_near_dedup": embedding_dedup.query,
     "op5_warc_source": warc.query,
+    "op6_toxicity_chain": toxicity.query,
+    "op7_language_id": language.query,
     "op8_ngram_jaccard_join": ngram_join.query,
     "op9_media_chunks": media.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 ORACLE_SQL = {
+    "op3_embedding_near_dedup": embedding_dedup.SQL,
     "op5_warc_source": warc.SQL,
     "op8_ngram_jaccard_join": ngram_join.SQL,
 }
