@@ -208,6 +208,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return made.select("id", "n").join(placed, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """Of each group of linked documents the row with the smallest id, with all its columns; of rows that repeat an id one stays.
+
+    Documents without words are linked with nothing and all stay, as do rows with a null id.
+    """
+    found = jaccard_components(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", width, num, den)
+    stay = found.where("_id = component_id").select(F.col("_id")).distinct()
+    kept = docs.join(stay, docs[id_col] == stay["_id"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
