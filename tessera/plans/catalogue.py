@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import facility
+
+MODULES = (facility,)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "reporting_rate_combined"
