@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import read, sliced
 
-SAMPLE = 4_000  # labelled rows of each class that training draws at most
-SPACE = 1 << 22  # hashed features
+SAMPLE = 3_000  # labelled rows of each class that training draws at most
+SPACE = 1 << 20  # hashed features
 CHOSEN = 4_096  # features a model uses at most
 FOLDS = 5
 TELLING = 4.0  # least root of a feature's likelihood ratio
@@ -96,7 +96,7 @@ class Chain:
         n = len(features)
         if not n:
             return cls(np.empty(0, np.int32), [Linear(np.zeros(0), np.zeros(k), -9.0) for k in range(len(CATEGORIES))])
-        flat, of = np.concatenate(features), np.repeat(np.arange(n), [len(f) for f in features])
+        flat, of = np.concatenate(features), np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
         yes, no = (np.bincount(flat[toxic[of] == v], minlength=SPACE) for v in (1, 0))
         n1, n0 = max(1, int(toxic.sum())), max(1, int(n - toxic.sum()))
         p, q, rate = yes / n1, no / n0, (yes + no) / (n1 + n0)
@@ -107,8 +107,11 @@ class Chain:
         chosen = np.sort(candidates[np.argsort(-score[candidates], kind="stable")[:CHOSEN]])
         telling = (score > TELLING) & (q * 20 < p) & (yes >= 4)
         hits = np.bincount(of, telling[flat], n)
-        known = np.isin(flat, chosen)
+        known = np.zeros(SPACE, bool)
+        known[chosen] = True
+        known = known[flat]
         rows, cols = of[known], np.searchsorted(chosen, flat[known])
+        del of, flat, features
         labels = {"repeated": toxic * (hits >= REPEATED), "severe": toxic * (hits >= SEVERE * np.maximum(words, 1)), "toxic": toxic}
         fold = np.arange(n) % FOLDS
         before, models = np.zeros((n, 0)), []
