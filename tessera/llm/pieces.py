@@ -321,26 +321,39 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(_decode(path or model_path()), out)
 
 
+def _reported(ids: np.ndarray, model: Pieces) -> tuple[int, int, int]:
+    return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(model.decode(ids.tolist()).encode("utf-8", "surrogatepass"))
+
+
 def _report(path: str):
     def run(batches):
         model = pieces_of(path)
         for batch in sliced(batches):
-            n, crc, text = [], [], []
-            for ids in batch.column(1):
-                x = ids.values.to_numpy(zero_copy_only=False)
-                n.append(len(x))
-                crc.append(zlib.crc32(x.astype("<u4").tobytes()))
-                text.append(zlib.crc32(model.decode(x.tolist()).encode("utf-8", "surrogatepass")))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64())], ["_id", "n_pieces", "ids_crc32", "decoded_crc32"])
+            last = batch.column(1)
+            if pa.types.is_list(last.type):
+                ids = [x.values.to_numpy(zero_copy_only=False) for x in last]
+            else:  # a text of one chunk
+                ids = [np.array(x, np.int32) for x in model.encode([t or "" for t in last.to_pylist()])]
+            rows = [_reported(x, model) for x in ids]
+            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ())))], ["_id", "n_pieces", "ids_crc32", "decoded_crc32"])
 
     return run
 
 
 def encoding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: (id, n_pieces, ids_crc32, decoded_crc32): the CRC-32 of the ids as little-endian 32-bit integers and of the bytes decoded from them."""
-    ids = encoded(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "text", path, chunk)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return ids.mapInArrow(_report(path or model_path()), f"_id {kind}, n_pieces long, ids_crc32 long, decoded_crc32 long").withColumnRenamed("_id", id_col)
+    """One row per document: (id, n_pieces, ids_crc32, decoded_crc32): the CRC-32 of the ids as little-endian 32-bit integers and of the bytes decoded from them.
+
+    Null texts count as empty; ids of rows may be null or repeat. An empty table gives no rows.
+    """
+    path = path or model_path()
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_crc32 long"
+    big = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    small = base.where(~big).mapInArrow(_report(path), schema)
+    keyed = base.where(big).withColumn("key", text_key())
+    giant = _giant_ids(keyed.select("key", "text"), path, chunk)
+    large = keyed.select("_id", "key").join(giant, "key").select("_id", "ids").mapInArrow(_report(path), schema)
+    return small.unionByName(large).withColumnRenamed("_id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
