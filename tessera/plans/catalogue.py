@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facility
+from . import areas, facility, harmonise, surveillance
 
-MODULES = (facility,)
+MODULES = (facility, surveillance, harmonise, areas)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "reporting_rate_combined"
