@@ -7,6 +7,7 @@ Access, rank (count) and select (occurrence lookup) need only the planes and the
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -162,16 +163,18 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return head[:n], head[n:], WaveletMatrix.from_bytes(data[24 + size :])
 
 
-_STOPS = frozenset(".,")
+_STOP = re.compile(r"(?<=[a-z])([.,])(?![^ \n])")
+_MARK = re.compile("[\u0300-\u036f]")
 
 
 class Encoder:
     """The library's ids of whole texts, from its ids of the runs between spaces and line ends.
 
     No pattern or merge of this kind of tokenizer (normalizer NFC, white space, lower case; split by character class) reaches over
-    white space, so the ids of a text are those of its runs in order; nor does one reach from letters to a full stop or comma
-    after them. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered`` new ones were, and
-    as many before them.
+    white space, so the ids of a text are those of its runs in order; nor does one reach from a letter to a full stop or comma
+    that ends a run. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered`` new ones
+    were, and as many before them. ASCII capitals are made small first, so that fewer runs differ, but not in texts that could
+    hold a special token or have combining marks, which a small letter may join where the capital does not.
     """
 
     def __init__(self, path: str, remembered: int = 600_000):
@@ -181,38 +184,37 @@ class Encoder:
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
 
-    def _learn(self, runs: list[str]) -> None:
-        known, before = self.known, self.before
-        new, ends = set(), []
-        for run in runs:
-            got = before.get(run)
-            if got is not None:
-                known[run] = got
-            elif run[-1:] in _STOPS and run[:-1].isalpha():
-                ends.append(run)
-                new.add(run[:-1])
-                new.add(run[-1])
-            else:
-                new.add(run)
-        new = [r for r in new if r not in known]
+    @staticmethod
+    def _runs(text: str | None) -> list[str]:
+        if not text:
+            return [""]
+        if "<|" not in text and not _MARK.search(text):
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def _learn(self, runs: set[str]) -> None:
+        known = self.known
+        before = self.before
+        old = {r: before[r] for r in runs if r in before} if before else {}
+        known.update(old)
+        new = runs.difference(old)
         words = [r for r in new if r.isalpha() and (r.isascii() or r.lower().isalpha() and unicodedata.is_normalized("NFC", r))]
         # each of those is one word for the library, so many can be one text
+        size = self.kind.itemsize
         for at in range(0, len(words), 5000):
             part = words[at : at + 5000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, self.kind).tobytes()
-            size = self.kind.itemsize
             cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * size).tolist()
-            known.update((w, ids[a:b]) for w, a, b in zip(part, cut, cut[1:]))
-        rest = list(set(new).difference(words))
+            known.update(zip(part, map(ids.__getitem__, map(slice, cut, cut[1:]))))
+        rest = list(new.difference(words))
         known.update((r, np.array(got.ids, self.kind).tobytes()) for r, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
-        known.update((r, known[r[:-1]] + known[r[-1]]) for r in ends)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.known, self.before = {}, self.known
-        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*runs).difference(self.known)))
+        runs = [self._runs(t) for t in texts]
+        self._learn(set().union(*runs).difference(self.known))
         find = self.known.__getitem__
         return [b"".join(map(find, x)) for x in runs]
 

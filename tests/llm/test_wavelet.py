@@ -30,7 +30,7 @@ def test_access_rank_select(n):
             m.select(s, len(where))
 
 
-TEXTS = [None, "", "Hello  World\n\nfoo's  BAR\t x", "é ́a", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ ς", "long " * 3000, "x" * 5000, "日本語 text here"]
+TEXTS = [None, "", "J\u030c j\u030c I\u0307x, a.. b., c,. <|ENDOFTEXT|> W\u030a", "End.\nNext, one. A.B. it's. 3. x.y, É.", "Hello  World\n\nfoo's  BAR\t x", "é ́a", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ ς", "long " * 3000, "x" * 5000, "日本語 text here"]
 
 
 def expected(texts):
