@@ -93,11 +93,21 @@ class Chain:
 
     @classmethod
     def fit(cls, features: list[np.ndarray], words: np.ndarray, toxic: np.ndarray) -> Chain:
-        n = len(features)
+        lengths = np.array([len(f) for f in features], np.int64)
+        return cls.fit_flat(np.concatenate(features) if features else np.empty(0, np.int32), lengths, words, toxic)
+
+    @classmethod
+    def fit_flat(cls, flat: np.ndarray, lengths: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> Chain:
+        """Fits on texts whose features follow each other in ``flat``; what is made of all features is made some at a time."""
+        n = len(lengths)
         if not n:
             return cls(np.empty(0, np.int32), [Linear(np.zeros(0), np.zeros(k), -9.0) for k in range(len(CATEGORIES))])
-        flat, of = np.concatenate(features), np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
-        yes, no = (np.bincount(flat[toxic[of] == v], minlength=SPACE) for v in (1, 0))
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        counts = np.zeros((2, SPACE), np.int32)
+        for s, e, y in zip(starts.tolist(), ends.tolist(), toxic.tolist()):
+            counts[y, flat[s:e]] += 1  # a text's features are distinct
+        no, yes = counts
         n1, n0 = max(1, int(toxic.sum())), max(1, int(n - toxic.sum()))
         p, q, rate = yes / n1, no / n0, (yes + no) / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -106,12 +116,15 @@ class Chain:
         candidates = np.flatnonzero((score > TELLING) & (yes >= 4))  # what tells toxic texts from others
         chosen = np.sort(candidates[np.argsort(-score[candidates], kind="stable")[:CHOSEN]])
         telling = (score > TELLING) & (q * 20 < p) & (yes >= 4)
-        hits = np.bincount(of, telling[flat], n)
         known = np.zeros(SPACE, bool)
         known[chosen] = True
-        known = known[flat]
-        rows, cols = of[known], np.searchsorted(chosen, flat[known])
-        del of, flat, features
+        del p, q, rate, likelihood, score, counts, yes, no
+        found, hits = [], np.zeros(n, np.int64)
+        for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+            part = flat[s:e]
+            hits[i] = telling[part].sum()
+            found.append(np.searchsorted(chosen, part[known[part]]))
+        rows, cols = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
         labels = {"repeated": toxic * (hits >= REPEATED), "severe": toxic * (hits >= SEVERE * np.maximum(words, 1)), "toxic": toxic}
         fold = np.arange(n) % FOLDS
         before, models = np.zeros((n, 0)), []
@@ -173,10 +186,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = [known.where(F.col("_toxic") == v).orderBy(F.xxhash64("_id"), "_id").limit(sample) for v in (0, 1)]
     ids = F.broadcast(first[0].unionByName(first[1]))  # 2 * sample rows at most
     drawn = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, "_id")
-    got = drawn.select("_toxic", "_text").mapInArrow(_sample_rows, "toxic int, words long, features binary").toPandas()
-    order = np.lexsort((got["features"].map(lambda b: xxhash.xxh3_64_intdigest(b)).to_numpy(np.uint64),)) if len(got) else []
-    got = got.iloc[order]  # so that folds do not depend on the order of partitions
-    return Chain.fit([np.frombuffer(b, np.int32) for b in got["features"]], got["words"].to_numpy(np.int64), got["toxic"].to_numpy(np.int64))
+    got = drawn.select("_toxic", "_text").mapInArrow(_sample_rows, "toxic int, words long, features binary").toArrow().combine_chunks()
+    data = got["features"].combine_chunks()
+    keys = np.array([xxhash.xxh3_64_intdigest(x.as_buffer()) for x in data], np.uint64)
+    order = np.argsort(keys, kind="stable")  # so that folds do not depend on the order of partitions
+    parts = [np.frombuffer(data[int(i)].as_buffer(), np.int32) for i in order]
+    chain = Chain.fit(parts, got["words"].to_numpy()[order], got["toxic"].to_numpy()[order].astype(np.int64))
+    del got, data, parts
+    pa.default_memory_pool().release_unused()
+    return chain
 
 
 def _scored(chain, schema_names):
