@@ -73,7 +73,7 @@ def _chance(id_col: str) -> Column:
 
 def _probabilities(docs: DataFrame, targets) -> DataFrame:
     """(margins..., p) from documents with the margins' values and n_tokens."""
-    cells = docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("t"))
+    cells = staged(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("t")), "counted")
     raked = staged(rake(cells, MARGINS, targets), "raked")
     most = raked.where("t > 0").agg(F.max("factor").alias("most"))
     return raked.join(F.broadcast(most)).select(*MARGINS, F.coalesce(F.least(F.try_divide("factor", "most"), F.lit(1.0)), F.lit(1.0)).alias("p"))
