@@ -13,6 +13,7 @@ until the end.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -25,7 +26,7 @@ from .common import components, read, staged
 DIRECTIONS = 24
 MISSED = 1e-4
 SLAB = 1500
-SLABS_PER_GROUP = 100_000  # slab bounds that one label may send to the driver
+SLABS = 20_000  # slabs at most; their bounds go to the driver and back
 
 
 def directions(dim: int) -> np.ndarray:
@@ -155,24 +156,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = made.where("id is not null and label is not null and vec is not null").distinct()
     same = staged(usable.groupBy("label", "dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("label", "rep", "dim", "vec", "copies"), "vector-classes")
     placed = staged(same.mapInArrow(_first, f"label {kind}, rep long, dim int, vec binary, copies long, p double"), "projected")
-    sizes = placed.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()  # one row per label and length
-    if not sizes:
+    sizes = placed.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    top = sizes.orderBy(F.desc("n"), "label", "dim").first()
+    if top is None:
         return made.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    most = max(r.n for r in sizes)
-    slabs = min(SLABS_PER_GROUP, max(1, -(-most // SLAB)))
+    slabs = min(SLABS, max(1, -(-top.n // SLAB)))
     # the slabs of all labels have the bounds of the largest one's quantiles: fixed in number, so small to send
-    top = max(sizes, key=lambda r: (r.n, str(r.label)))
     mine = placed.where((F.col("label") == F.lit(top.label)) & (F.col("dim") == top.dim))
     bounds = mine.approxQuantile("p", [i / slabs for i in range(1, slabs)], min(0.1, 0.2 / slabs)) if slabs > 1 else []
     bounds = sorted(set(bounds))
-    reach = max(window(r.dim, threshold)[1] for r in sizes)
+    reach = window(placed.agg(F.min("dim")).first()[0], threshold)[1]  # the fewer dimensions, the wider
     places = F.array(*(F.lit(float(b)) for b in bounds)) if bounds else F.expr("cast(array() as array<double>)")
     slab = F.size(F.filter(places, lambda b: b <= F.col("p"))) if bounds else F.lit(0)
     placed = placed.withColumn("slab", slab)
     # slab i meets slab k >= i if k starts within reach of i's end
-    last = [max(k for k in range(i, len(bounds) + 1) if k == i or bounds[k - 1] <= bounds[i] + reach) if i < len(bounds) else i for i in range(len(bounds) + 1)]
-    pairs = placed.sparkSession.createDataFrame([(i, k, s, 2 if i == k else side) for i in range(len(last)) for k in range(i, last[i] + 1) for s, side in {(i, 0), (k, 1)} if not (i == k and side == 1)], "one int, two int, slab int, side int")
-    met = placed.join(F.broadcast(pairs), "slab").select("label", "dim", "one", "two", "side", "rep", "copies", "vec")
+    last = [max(i, bisect.bisect_right(bounds, bounds[i] + reach)) for i in range(len(bounds))] + [len(bounds)]
+    first = [bisect.bisect_left(last, k) for k in range(len(last))]
+    spans = placed.sparkSession.createDataFrame([(k, first[k], last[k]) for k in range(len(last))], "slab int, first int, last int")
+    placed = placed.join(F.broadcast(spans), "slab")  # at most SLABS rows
+    own = placed.withColumn("two", F.explode(F.sequence("slab", "last"))).withColumns({"one": F.col("slab"), "side": F.when(F.col("two") == F.col("slab"), 2).otherwise(0)})
+    other = placed.where("first < slab").withColumn("one", F.explode(F.sequence("first", F.col("slab") - 1))).withColumns({"two": F.col("slab"), "side": F.lit(1)})
+    columns = ["label", "dim", "one", "two", "side", "rep", "copies", "vec"]
+    met = own.select(columns).unionByName(other.select(columns))
     found = staged(met.groupBy("label", "dim", "one", "two").applyInArrow(_meet(threshold), "rep long, links long, low long"), "meetings")
     joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     of_rep = joined.select(F.col("node").alias("rep"), "component")

@@ -182,7 +182,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, per_text).alias("text"))
     count = known.groupBy("lang").agg(F.count("*").alias("n"))
     # texts that can be drawn: as many as would fill the sample were each 150 bytes, three times over to leave room for copies
-    drawn = known.join(F.broadcast(count), "lang").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < (1 << 30) * 3.0 * sample / 150)
+    drawn = known.join(count, "lang").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < (1 << 30) * 3.0 * sample / 150)
     drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     some = drawn.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))).where(F.col("before") < sample)
