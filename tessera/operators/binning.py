@@ -48,6 +48,21 @@ def headtail_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
     return all_.agg(F.array_sort(F.collect_set("m")).alias("b")).select(F.concat("b", F.array(F.lit(INF))).alias("breaks"))
 
 
+def shape(df: DataFrame, x: str) -> DataFrame:
+    """One row: the part of zeros, the 50th and 90th percentiles of the rest, their ratio and the part of the sum above the 90th; and the method they ask for.
+
+    Many zeros, a ratio above 4 or a heavy tail ask for head/tail breaks, a ratio above 2 for hybrid ones, else quantiles do.
+    """
+    zero = df.where(F.col(x).isNotNull()).agg((F.count(F.when(F.col(x) == 0, 1)) / F.count("*")).alias("prop_zero"))
+    known = _known(df, x)
+    q = known.agg(F.percentile("x", 0.5).alias("q50"), F.percentile("x", 0.9).alias("q90"), F.min("x").alias("low"))
+    tail = known.crossJoin(F.broadcast(q)).groupBy("q50", "q90", "low").agg((F.sum(F.when(F.col("x") > F.col("q90"), F.col("x"))) / F.sum("x")).alias("t"))
+    plain = (F.col("low") < 0) | (F.col("q50") <= 0)
+    got = tail.crossJoin(F.broadcast(zero)).select("prop_zero", "q50", "q90", F.when(plain, 1.0).otherwise(F.col("q90") / F.col("q50")).alias("ratio"), F.when(plain, 0.0).otherwise(F.coalesce("t", F.lit(0.0))).alias("tail_share"))
+    method = F.when((F.col("prop_zero") > 0.1) | (F.col("ratio") > 4) | (F.col("tail_share") > 0.4), "headtail").when(F.col("ratio") > 2, "hybrid").otherwise("quantile")
+    return got.select(*(F.bround(c, 6).alias(c) for c in got.columns), method.alias("method"))
+
+
 def bin_index(x: Column, breaks: Column) -> Column:
     """The first bin, from 1, whose upper bound is not below x; bounds belong to the bin under them."""
     return F.size(F.filter(breaks, lambda b: b < x)) + 1

@@ -56,12 +56,15 @@ def future_dates(df: DataFrame, date: str, as_of: str, keep: list[str]) -> DataF
     return df.where(F.col(date) > F.trunc(F.to_date(F.lit(as_of)), "MM")).select(*keep, date)
 
 
-def row_sum(columns: list[str]):
-    """Sum of what is there; null where nothing is."""
+def row_sum(columns: list[str], min_present: int = 1):
+    """Sum of what is there, if at least ``min_present`` of the columns are; else null."""
     total = sum((F.coalesce(c, F.lit(0.0)) for c in columns), F.lit(0.0))
-    return F.when(F.coalesce(*(F.col(c) for c in columns)).isNotNull(), total)
+    present = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return F.when(present >= min_present, total)
 
 
-def difference_or(a: str, b: str):
-    """a - b, not below zero; what is there of the two where one is missing."""
-    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.greatest(F.col(a) - F.col(b), F.lit(0.0))).otherwise(F.coalesce(a, b))
+def difference_or(a: str, b: str, minimum: float = 0.0):
+    """The absolute difference, not below the minimum; where one side is missing, the other one, not below it either."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    value = F.when(both, F.abs(F.col(a) - F.col(b))).otherwise(F.coalesce(a, b))
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(minimum)))

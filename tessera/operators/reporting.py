@@ -92,3 +92,15 @@ def rate_by_dates(df: DataFrame, variable: str, x: str, roles: Roles, opening: s
     keys = _group(x, y)
     out = df.where(inside).groupBy(*keys).agg(F.count_distinct(F.when(F.col(variable).isNotNull(), F.col(roles.hf))).alias("rep"), F.count_distinct(roles.hf).alias("exp"))
     return _with_rates(out, keys)
+
+
+def active_share_by_dates(df: DataFrame, x: str, roles: Roles, opening: str, closing: str, y: str | None = None) -> DataFrame:
+    """Rows with their status by dates and the share of active rows in their group.
+
+    A row is active if its date lies from opening to closing, both included; a missing bound leaves its status unknown (null), and
+    unknown rows count in the group but not as active.
+    """
+    inside = (F.col(roles.date) >= F.col(opening)) & (F.col(roles.date) <= F.col(closing))
+    by = Window.partitionBy(*_group(x, y))
+    active = F.sum(F.when(inside, 1).otherwise(0)).over(by)
+    return df.withColumns({"status": F.when(inside, "Active").when(~inside, "Inactive"), "n_active": active.cast("long"), "n_rows": F.count("*").over(by)}).withColumn("active_share", F.bround(F.col("n_active") / F.col("n_rows"), 6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import binning as bi
+from ..operators import filenames as fi
 from ..operators import population as po
 from ..operators import zonal as zo
 from .tables import table, view
@@ -77,6 +78,10 @@ def _values(x: str, name: str) -> str:
 
 HEAD = [f"h{i} AS (SELECT avg(x) AS m, count(*) AS k FROM k" + (f" WHERE x > (SELECT m FROM g{i - 1})" if i else "") + f"), g{i} AS (SELECT CASE WHEN k > 0.05 * (SELECT count(*) FROM k) OR {i} = 0 THEN m END AS m FROM h{i})" for i in range(5)]
 YEARS = [2000, 2001, 2002]
+#: File names of months and years, all with two numbers in common.
+FILES = """SELECT CASE kind WHEN 1 THEN 'maps/rate_250_' || m || '-' || y || '.007.tif' WHEN 2 THEN 'rate_250_' || y || '-' || m || '.007.tif' WHEN 3 THEN 'rate_250_' || y || m || '.007.tif' ELSE 'rate_250_' || y || '.007.tif' END AS name, d, kind
+ FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, CAST(year(o_orderdate) AS STRING) AS y, lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS m, month(o_orderdate) % 4 + 1 AS kind FROM {0})"""
+FILES_SQL = FILES.format("orders").replace("STRING", "VARCHAR")
 
 QUERIES = {
     "population_rollup": lambda s, d: po.roll_up(pop(s, d).withColumn("adm0", F.lit("WORLD")), ["adm0", "adm1", "adm2"], "year", ["pop", "births"]),
@@ -91,6 +96,10 @@ QUERIES = {
     "bins_quantile": _bins(lambda df: bi.quantile_breaks(df, "o_totalprice", 6), "o_totalprice", "orders"),
     "bins_hybrid": _bins(lambda df: bi.hybrid_breaks(df, "o_totalprice", 5), "o_totalprice", "orders"),
     "bins_headtail": _bins(lambda df: bi.headtail_breaks(df, "c_acctbal", 5), "c_acctbal", "customer"),
+    "bins_shape": lambda s, d: bi.shape(table(s, d, "orders"), "o_totalprice"),
+    "time_components": lambda s, d: view(s, d, FILES.format("{orders}"), "orders").select("name", *fi.time_components("name")),
+    "time_pattern": lambda s, d: fi.time_pattern(view(s, d, FILES.format("{orders}"), "orders"), "name"),
+    "clean_filenames": lambda s, d: fi.cleaned_names(view(s, d, FILES.format("{orders}"), "orders"), "name").select("name", "cleaned"),
     "bins_custom": lambda s, d: bi.bin_counts(table(s, d, "part"), "p_retailprice", s.range(1).select(F.array(*(F.lit(float(b)) for b in (500, 1000, 1500)), F.lit(float("inf"))).alias("breaks"))),
     "zonal_mean_sum": lambda s, d: zo.zonal_statistics(cells(s, d), "zone", "value", "coverage").withColumn("mean", F.bround("mean", 6)),
     "zonal_weighted_mean": lambda s, d: zo.zonal_statistics(cells(s, d), "zone", "value", "coverage", "weight").select("zone", F.bround("weighted_mean", 6).alias("weighted_mean")),
@@ -120,6 +129,13 @@ SELECT adm2, year, pop, FALSE AS filled FROM p WHERE year <= 1999 UNION ALL SELE
     "bins_quantile": _bins_sql(f"{_values('o_totalprice', 'orders')}, br AS (SELECT quantile_cont(x, {[i / 7 for i in range(1, 8)]}) AS b FROM k)", "o_totalprice", "orders"),
     "bins_hybrid": _bins_sql(f"{_values('o_totalprice', 'orders')}, br AS (SELECT list_concat(quantile_cont(x, {[i / 5 for i in range(1, 6)]}), ['inf'::DOUBLE]) AS b FROM k WHERE x <= (SELECT quantile_cont(x, 0.9::DOUBLE) FROM k))", "o_totalprice", "orders"),
     "bins_headtail": _bins_sql(f"{_values('c_acctbal', 'customer')}, {', '.join(HEAD)}, br AS (SELECT list_append(list(m) FILTER (m IS NOT NULL), 'inf'::DOUBLE) AS b FROM ({' UNION ALL '.join(f'SELECT m FROM g{i}' for i in range(5))}))", "c_acctbal", "customer"),
+    "bins_shape": """WITH k AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice <> 0), q AS (SELECT quantile_cont(x, 0.5::DOUBLE) AS q50, quantile_cont(x, 0.9::DOUBLE) AS q90 FROM k), z AS (SELECT count(*) FILTER (o_totalprice = 0) / CAST(count(*) AS DOUBLE) AS prop_zero FROM orders),
+t AS (SELECT sum(x) FILTER (x > q90) / sum(x) AS tail_share FROM k, q), a AS (SELECT prop_zero, q50, q90, q90 / q50 AS ratio, tail_share FROM q, z, t)
+SELECT round_even(prop_zero, 6) AS prop_zero, round_even(q50, 6) AS q50, round_even(q90, 6) AS q90, round_even(ratio, 6) AS ratio, round_even(tail_share, 6) AS tail_share, CASE WHEN prop_zero > 0.1 OR ratio > 4 OR tail_share > 0.4 THEN 'headtail' WHEN ratio > 2 THEN 'hybrid' ELSE 'quantile' END AS method FROM a""",
+    "time_components": f"""WITH f AS (SELECT *, year(m) AS y, month(m) AS k FROM (SELECT name, CASE WHEN kind = 4 THEN make_date(CAST(year(d) AS BIGINT), 1, 1) ELSE d END AS m, kind FROM ({FILES_SQL})))
+SELECT name, CAST(y AS INTEGER) AS year, CASE WHEN kind < 4 THEN CAST(k AS INTEGER) END AS month, CASE WHEN kind < 4 THEN CAST(ceil(k / 6.0) AS INTEGER) END AS semester, CASE WHEN kind < 4 THEN CAST(ceil(k / 3.0) AS INTEGER) END AS quarter, m AS date FROM f""",
+    "time_pattern": f"SELECT count(*) AS n_files, CAST(0 AS BIGINT) AS n_daily, count(*) FILTER (kind < 4) AS n_monthly, count(*) FILTER (kind <> 3) AS n_yearly, CAST(NULL AS VARCHAR) AS pattern FROM ({FILES_SQL})",
+    "clean_filenames": f"SELECT name, replace(replace(name, '_250_', '_'), '.007.', '.') AS cleaned FROM ({FILES_SQL})",
     "bins_custom": _bins_sql("br AS (SELECT [500::DOUBLE, 1000, 1500, 'inf'::DOUBLE] AS b)", "p_retailprice", "part"),
     "zonal_mean_sum": f"WITH {C} SELECT zone, count(*) AS n_cells, round_even(sum(value * coverage) / sum(coverage), 6) AS mean, CASE WHEN sum(value * coverage) > 1 THEN round_even(sum(value * coverage), 0) ELSE sum(value * coverage) END AS sum FROM c GROUP BY zone",
     "zonal_weighted_mean": f"WITH {C} SELECT zone, round_even(sum(value * coalesce(weight, 0) * coverage) / sum(coalesce(weight, 0) * coverage), 6) AS weighted_mean FROM c GROUP BY zone",

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import activity as ac
 from ..operators import reporting as rp
-from .tables import PANEL, ROLES, panel, table, view
+from .tables import PANEL, ROLES, panel, view
 
 KEYS = ["conf", "test"]
 DASH = ac.SILENT
@@ -90,6 +88,7 @@ QUERIES = {
     "reporting_rate_weighted": lambda s, d: rp.rate_weighted(panel(s, d), KEYS, "susp", "yearmon", "adm2", ROLES),
     "reporting_rate_weighted_current": lambda s, d: rp.rate_weighted(panel(s, d), KEYS, "susp", "yearmon", "adm2", ROLES, include_current=True, cold_start="global"),
     "reporting_rate_dates": lambda s, d: rp.rate_by_dates(dated(s, d), "conf", "yearmon", ROLES, "hf_opening_date", "hf_closing_date", "adm2"),
+    "active_share_by_dates": lambda s, d: rp.active_share_by_dates(dated(s, d), "yearmon", ROLES, "hf_opening_date", "hf_closing_date", "adm2").select("record_id", "status", "n_active", "n_rows", "active_share"),
 }
 ORACLE_SQL = {
     **{f"activity_m{i}": f"WITH {ACT} SELECT hf, month, first_report, last_report, method{i} FROM act" for i in (1, 2, 3)},
@@ -115,5 +114,7 @@ g AS (SELECT yearmon, adm2, variable, count(DISTINCT hf) FILTER (v IS NOT NULL)
     "reporting_rate_weighted_current": _weighted(True, "global"),
     "reporting_rate_dates": f"""WITH p AS ({DATED_SQL}), d AS (SELECT * FROM p WHERE (hf_opening_date IS NULL OR date >= hf_opening_date) AND (hf_closing_date IS NULL OR date <= hf_closing_date)),
 g AS (SELECT yearmon, adm2, count(DISTINCT hf) FILTER (conf IS NOT NULL) AS rep, count(DISTINCT hf) AS exp FROM d GROUP BY 1, 2) SELECT *, {RATE} FROM g""",
+    "active_share_by_dates": f"""WITH p AS ({DATED_SQL}), i AS (SELECT *, date >= hf_opening_date AND date <= hf_closing_date AS inside FROM p),
+n AS (SELECT *, CAST(sum(CASE WHEN inside THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_active, count(*) OVER w AS n_rows FROM i WINDOW w AS (PARTITION BY yearmon, adm2))
+SELECT record_id, CASE WHEN inside THEN 'Active' WHEN NOT inside THEN 'Inactive' END AS status, n_active, n_rows, round_even(n_active / CAST(n_rows AS DOUBLE), 6) AS active_share FROM n""",
 }
-del F, table

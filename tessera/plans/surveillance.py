@@ -92,7 +92,7 @@ QUERIES = {
     "missing_detail": lambda s, d: qa.missing_detail(panel(s, d).withColumn("year", F.year("date")), ["conf", "test", "susp"], ["adm1", "adm2", "year"]),
     "duplicates": lambda s, d: qa.duplicates(view(s, d, DUP.format("{events}"), "events"), ["user_id", "event_type", "day"], ["event_id"]),
     "future_dates": lambda s, d: qa.future_dates(panel(s, d), "date", "2001-05-17", ["record_id"]),
-    "row_sum_fallback": lambda s, d: panel(s, d).select("record_id", qa.row_sum(["conf", "test", "susp"]).alias("total")),
+    "row_sum_fallback": lambda s, d: panel(s, d).select("record_id", qa.row_sum(["conf", "test", "susp"], 2).alias("total")),
     "diff_fallback": lambda s, d: panel(s, d).select("record_id", qa.difference_or("test", "susp").alias("difference")),
     "safe_sum": lambda s, d: panel(s, d).where("record_id % 3 = 0 or record_id % 7 = 1").groupBy("hf").agg(F.sum("conf").alias("sum_or_null"), F.coalesce(F.sum("conf"), F.lit(0.0)).alias("sum_or_zero"), F.count("*").alias("n")).select("hf", F.bround("sum_or_null", 2).alias("sum_or_null"), F.bround("sum_or_zero", 2).alias("sum_or_zero"), "n"),
 }
@@ -118,7 +118,7 @@ s AS (SELECT hf, date, med2 AS median, CASE WHEN med2 IS NULL THEN 'no_neighbour
     "missing_detail": P + ", g AS (" + " UNION ALL ".join(f"SELECT adm1, adm2, CAST(year(date) AS INTEGER) AS year, '{c}' AS variable, count(*) FILTER ({c} IS NULL) AS n_missing, count(*) AS n_rows FROM p GROUP BY 1, 2, 3" for c in ("conf", "test", "susp")) + ") SELECT *, round_even(n_missing / CAST(n_rows AS DOUBLE), 4) AS prop_missing FROM g WHERE n_missing > 0",
     "duplicates": f"WITH e AS ({DUP.format('events')}), c AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type, day) AS n_copies FROM e) SELECT * FROM c WHERE n_copies > 1",
     "future_dates": f"{P} SELECT record_id, date FROM p WHERE date > DATE '2001-05-01'",
-    "row_sum_fallback": f"{P} SELECT record_id, CASE WHEN coalesce(conf, test, susp) IS NOT NULL THEN coalesce(conf, 0) + coalesce(test, 0) + coalesce(susp, 0) END AS total FROM p",
-    "diff_fallback": f"{P} SELECT record_id, CASE WHEN test IS NOT NULL AND susp IS NOT NULL THEN greatest(test - susp, 0) ELSE coalesce(test, susp) END AS difference FROM p",
+    "row_sum_fallback": f"{P} SELECT record_id, CASE WHEN CAST(conf IS NOT NULL AS INT) + CAST(test IS NOT NULL AS INT) + CAST(susp IS NOT NULL AS INT) >= 2 THEN coalesce(conf, 0) + coalesce(test, 0) + coalesce(susp, 0) END AS total FROM p",
+    "diff_fallback": f"{P} SELECT record_id, CASE WHEN test IS NOT NULL AND susp IS NOT NULL THEN abs(test - susp) ELSE coalesce(test, susp) END AS difference FROM p",
     "safe_sum": f"{P} SELECT hf, round_even(sum(conf), 2) AS sum_or_null, round_even(coalesce(sum(conf), 0), 2) AS sum_or_zero, count(*) AS n FROM p WHERE record_id % 3 = 0 OR record_id % 7 = 1 GROUP BY hf",
 }

@@ -142,3 +142,23 @@ def test_crosswalk_split(spark):
     df = spark.createDataFrame([("o", "a", 100.0, 51.0), ("o", "b", 100.0, 49.0), ("o", "c", 100.0, 0.05)], "old string, new string, area_old double, area_shared double")
     got = zo.crosswalk(df).orderBy("new").collect()
     assert [(r.new, r.overlap, r.primary, r.split) for r in got] == [("a", 0.51, True, True), ("b", 0.49, False, True)]
+
+
+def test_variable_names():
+    from tessera.functions.variables import leaves, parse_name
+
+    known = {"conf_rdt_hf_u5", "maltreat_com_1_4_pub", "susp"}
+    p = parse_name("conf_rdt_hf_u5", known)
+    assert (p.domain, p.parts, p.known) == ("conf", {"test": "rdt", "service": "hf", "age": "u5"}, "conf_rdt_hf_u5")
+    assert parse_name("Conf_rdthf_u5x", known).known == "conf_rdt_hf_u5"
+    assert parse_name("maltreat_com_1_4_pub", known).parts == {"service": "com", "age": "1_4", "sector": "pub"}
+    assert parse_name("other_thing", known).known is None and parse_name("other_thing", known).rest == ["thing"]
+    tree = {"routine": {"conf": {"snt_var_name": "conf", "label_en": "Confirmed", "by_age": {"u5": {"snt_var_name": "conf_u5"}}}}}
+    assert [(r["domain"], r["snt_var_name"]) for r in leaves(tree)] == [("routine", "conf"), ("routine", "conf_u5")]
+
+
+def test_active_share_keeps_unknown_rows(spark):
+    rows = [("1", "a", dt.date(2023, 1, 1), dt.date(2022, 1, 1), dt.date(2024, 1, 1)), ("2", "b", dt.date(2023, 1, 1), None, None), ("3", "c", dt.date(2023, 1, 1), dt.date(2023, 2, 1), dt.date(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "record_id string, hf string, date date, op date, cl date")
+    got = rp.active_share_by_dates(df, "date", ROLES, "op", "cl").orderBy("record_id").collect()
+    assert [r.status for r in got] == ["Active", None, "Inactive"] and got[0].active_share == 0.333333
