@@ -16,7 +16,7 @@ from .common import read, staged
 
 MARGINS = ("source", "lang", "topic")
 POWER = 0.8  # where no targets are given, a value's share is its share of tokens to this power, normalised
-ROUNDS, CUT = 20, 4  # rounds; rounds between two written tables
+ROUNDS, CUT = 20, 1  # rounds; rounds between two written tables: a plan of one round is compiled once for all
 SHORT_LINE = 12  # tokens
 
 
@@ -54,7 +54,7 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str
             share = cells.groupBy(m).agg(F.pow(F.sum("t").cast("double"), F.lit(POWER)).alias("x"))
         everything = share.agg(F.sum("x").alias("sx"))
         share = share.join(F.broadcast(everything)).select(m, F.coalesce(F.try_divide("x", "sx"), F.lit(0.0)).alias(f"goal_{m}"))
-        cells = cells.join(share, m)
+        cells = staged(cells.join(share, m), "goals")
     whole = cells.agg(F.sum("t").cast("double").alias("whole"))
     cells = staged(cells.join(F.broadcast(whole)), "cells")
     for r in range(rounds):
