@@ -152,6 +152,7 @@ def _rare_first(sets: DataFrame, shards: DataFrame, num: int, den: int) -> DataF
     first = ordered.select("id", "n", "c", F.posexplode(prefix)).where("col.f > 1").select("id", "n", "c", F.col("pos").alias("i"), F.col("col.g").alias("g"))
     first = staged(first, "prefixes")
     held = first.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    held = staged(held, "open-grams")  # a plain side, so that a hot n-gram's rows can be split
     first = staged(first.join(held.select("g", F.col("top.c").alias("top")), "g"), "prefixes")
     x, y = (first.select("g", "top", *(F.col(v).alias(f"{v}{k}") for v in ("id", "n", "c", "i"))) for k in "xy")
     need = F.floor((num * (F.col("nx") + F.col("ny")) + num + den - 1) / (num + den))

@@ -265,8 +265,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         raise ValueError("a gram must be shorter than a cell's core")
     base = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     anchor = staged(base.mapInArrow(_anchor_rows(length, gram), ANCHOR), "anchors")
-    name = anchor.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    some = staged(anchor.join(name, "h").groupBy("h", "u", "key", "s", "e", "p").agg(F.count("*").alias("n")), "named")
+    # both sides of this join are plain shuffles, and what follows has keys of its own: a hot gram's rows can be split
+    name = staged(anchor.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "names")
+    named = staged(anchor.join(name, "h", "left_semi"), "named")
+    some = staged(named.groupBy("h", "u", "key", "s", "e", "p").agg(F.count("*").alias("n")), "placed")
     twice = some.groupBy("h", "u").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s", "e", "p")).alias("one"))
     twice = staged(twice, "classes")
     whole = some.join(twice.where("n > 1").select("h", "u"), ["h", "u"], "left_semi").select("key", F.col("s").alias("first"), F.col("e").alias("last"))
