@@ -25,13 +25,13 @@ class Parsed:
     rest: list[str] = field(default_factory=list)
 
 
-def leaves(tree: dict, path: tuple[str, ...] = ()) -> Iterator[dict]:
-    """Rows of a nested dictionary whose leaves hold ``snt_var_name``: the domain is the outermost key."""
+def leaves(tree: dict, name_key: str = "var_name", path: tuple[str, ...] = ()) -> Iterator[dict]:
+    """Rows of a nested dictionary whose leaves hold a name under ``name_key``: the domain is the outermost key."""
     for key, node in tree.items():
         if isinstance(node, dict):
-            if "snt_var_name" in node:
+            if name_key in node:
                 yield {"domain": path[0] if path else key, "path": "/".join((*path, key)), **{k: v for k, v in node.items() if not isinstance(v, dict)}}
-            yield from leaves({k: v for k, v in node.items() if isinstance(v, dict)}, (*path, key))
+            yield from leaves({k: v for k, v in node.items() if isinstance(v, dict)}, name_key, (*path, key))
 
 
 def _near(a: str, b: str) -> bool:

@@ -153,8 +153,8 @@ def test_variable_names():
     assert parse_name("Conf_rdthf_u5x", known).known == "conf_rdt_hf_u5"
     assert parse_name("maltreat_com_1_4_pub", known).parts == {"service": "com", "age": "1_4", "sector": "pub"}
     assert parse_name("other_thing", known).known is None and parse_name("other_thing", known).rest == ["thing"]
-    tree = {"routine": {"conf": {"snt_var_name": "conf", "label_en": "Confirmed", "by_age": {"u5": {"snt_var_name": "conf_u5"}}}}}
-    assert [(r["domain"], r["snt_var_name"]) for r in leaves(tree)] == [("routine", "conf"), ("routine", "conf_u5")]
+    tree = {"routine": {"conf": {"var_name": "conf", "label_en": "Confirmed", "by_age": {"u5": {"var_name": "conf_u5"}}}}}
+    assert [(r["domain"], r["var_name"]) for r in leaves(tree)] == [("routine", "conf"), ("routine", "conf_u5")]
 
 
 def test_active_share_keeps_unknown_rows(spark):
