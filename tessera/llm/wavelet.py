@@ -33,11 +33,14 @@ NO_ID = np.iinfo(np.int64).min  # stands for a null document id
 
 def _planes(ids: np.ndarray, bits: int):
     """(packed bits, zeros) from the highest bit down; each plane leaves the sequence parted, zeros first."""
+    ids, parted = ids.copy(), np.empty_like(ids)
     for b in range(bits - 1, -1, -1):
-        one = (ids & ids.dtype.type(1 << b)).astype(bool)
-        zero = ids[~one]
-        yield np.packbits(one, bitorder="little"), len(zero)
-        ids = np.concatenate((zero, ids[one]))
+        one = (ids & ids.dtype.type(1 << b)) != 0
+        zeros = len(ids) - int(np.count_nonzero(one))
+        yield np.packbits(one, bitorder="little"), zeros
+        np.compress(one, ids, out=parted[zeros:])
+        np.compress(np.logical_not(one, out=one), ids, out=parted[:zeros])
+        ids, parted = parted, ids
 
 
 class WaveletMatrix:
@@ -163,7 +166,7 @@ def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return head[:n], head[n:], WaveletMatrix.from_bytes(data[24 + size :])
 
 
-_STOP = re.compile(r"(?<=[a-z])([.,])(?![^ \n])")
+_TIGHT = re.compile(r"(?:[^\w \t\n\r]|_)[.,] ")
 _MARK = re.compile("[\u0300-\u036f]")
 
 
@@ -171,8 +174,8 @@ class Encoder:
     """The library's ids of whole texts, from its ids of the runs between spaces and line ends.
 
     No pattern or merge of this kind of tokenizer (normalizer NFC, white space, lower case; split by character class) reaches over
-    white space, so the ids of a text are those of its runs in order; nor does one reach from a letter to a full stop or comma
-    that ends a run. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered`` new ones
+    white space, so the ids of a text are those of its runs in order; nor does one reach from a letter or digit to a full stop or
+    comma that ends a run. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered`` new ones
     were, and as many before them. ASCII capitals are made small first, so that fewer runs differ, but not in texts that could
     hold a special token or have combining marks, which a small letter may join where the capital does not.
     """
@@ -190,7 +193,10 @@ class Encoder:
             return [""]
         if "<|" not in text and not _MARK.search(text):
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        text = text.replace("\n", " ")
+        if not _TIGHT.search(text):  # no stop or comma before a space belongs to a longer run of marks
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def _learn(self, runs: set[str]) -> None:
         known = self.known
@@ -267,7 +273,11 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parted = base.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # ranges of ids from a scan of the ids alone, so that no text is read twice
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(base.where("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))), F.lit(0)) if bounds else F.lit(0)
+    parted = base.repartitionById(n, F.when(F.col("id").isNull(), 0).otherwise(part)).sortWithinPartitions("id", "text")
     return staged(parted.mapInArrow(_write(folder, tokenizer, shard_tokens), MANIFEST), "manifest")
 
 
