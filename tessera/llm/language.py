@@ -19,12 +19,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, sliced
+from .common import read, sliced, staged
 
 BLOCK = 512
 LETTER = regex.compile(r"\p{L}")
 SPACE, PAD = 0, 1  # symbols; learned bytes follow, and one symbol stands for all others
 UNKNOWN = "und"
+SENT = 100_000  # languages whose counts are sent to all tasks; more are joined by shuffle
 SAMPLE = 60_000  # bytes of text learned per language
 PER_TEXT = 3_000  # characters that one document adds to the sample at most
 
@@ -180,7 +181,8 @@ def held_out(id_col: str, folds: int = 5) -> F.Column:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_text: int = PER_TEXT) -> Model:
     """Learns from a bounded sample: per language the ``sample`` first bytes of distinct texts (up to ``per_text`` characters of each) in order of a hash."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, per_text).alias("text"))
-    count = known.groupBy("lang").agg(F.count("*").alias("n"))
+    count = staged(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    count = F.broadcast(count) if count.count() <= SENT else count  # one row per language
     # texts that can be drawn: as many as would fill the sample were each 150 bytes, three times over to leave room for copies
     drawn = known.join(count, "lang").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < (1 << 30) * 3.0 * sample / 150)
     drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
