@@ -102,4 +102,4 @@ def nearest_names(names: DataFrame, candidates: DataFrame, k: int = 3) -> DataFr
     """The k nearest candidates of each name in its block, by Levenshtein distance of standard forms, then by name."""
     pairs = names.join(candidates, "block").withColumn("distance", F.levenshtein(standardize_name("name"), standardize_name("candidate")))
     order = Window.partitionBy("block", "name").orderBy("distance", "candidate")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("block", "name", "candidate", "distance", "rank")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("block", "name", "candidate", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
