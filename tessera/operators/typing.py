@@ -19,38 +19,43 @@ def parse_date(x: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Colu
     return F.coalesce(stamp, *(F.try_to_date(c, f) for f in formats))
 
 
+def distinct_counts(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(name, n_unique): distinct values per column, nulls apart. Columns become rows, so one distinct aggregation serves them all."""
+    long = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).unpivot([], [F.col(f"`{c}`") for c in columns], name, "value")
+    return long.groupBy(name).agg(F.count_distinct("value").alias("n_unique"))
+
+
 def type_plan(df: DataFrame, max_levels: int = 20, max_ratio: float = 0.05, protected: str = PROTECTED) -> DataFrame:
-    """One row per text column: the type that all its values take. One pass over the table.
+    """One row per text column: the type that all its values take. One pass over the table, and one for distinct values.
 
     Protected names and numbers with leading zeros stay text. What parses as nothing else and has few distinct values is a factor.
     """
     cols = [c for c, kind in df.dtypes if kind == "string"]
     parts = []
     for c in cols:
-        x = F.trim(F.col(c))
-        fits = lambda cond: F.count(F.when(F.col(c).isNotNull() & ~F.coalesce(cond, F.lit(False)), 1)) == 0  # noqa: B023, E731
+        x = F.trim(F.col(f"`{c}`"))
+        fits = lambda cond: F.count(F.when(F.col(f"`{c}`").isNotNull() & ~F.coalesce(cond, F.lit(False)), 1)) == 0  # noqa: B023, E731
         parts.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.count(c).alias("n"),
-                F.count_distinct(c).alias("n_unique"),
+                F.count(f"`{c}`").alias("n"),
                 fits(F.lower(x).isin("true", "false", "t", "f")).alias("logical"),
-                fits(x.try_cast("int").isNotNull() & x.rlike("^[+-]?[0-9]+$")).alias("integer"),
-                fits(x.try_cast("double").isNotNull() & x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")).alias("double"),
-                fits(F.try_to_date(x, "yyyy-MM-dd").isNotNull()).alias("date"),
-                fits(x.try_cast("timestamp_ntz").isNotNull() & x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:")).alias("datetime"),
+                fits(x.rlike("^[+-]?[0-9]{1,10}$") & x.try_cast("int").isNotNull()).alias("integer"),
+                fits(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") & x.try_cast("double").isNotNull()).alias("double"),
+                fits(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(x, "yyyy-MM-dd").isNotNull()).alias("date"),
+                fits(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:") & x.try_cast("timestamp_ntz").isNotNull()).alias("datetime"),
                 (F.count(F.when(x.rlike("^0+[0-9]+$"), 1)) > 0).alias("leading_zeros"),
                 F.lit(bool(re.search(protected, c))).alias("protected"),
             )
         )
-    got = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    got = df.agg(F.array(*parts).alias("p")).select(F.inline("p")).join(distinct_counts(df, cols, "column"), "column")
     few = (F.col("n_unique") <= max_levels) & (F.col("n_unique") <= F.greatest(F.lit(1.0), max_ratio * F.col("n")))
     kind = F.when(F.col("n") == 0, "character").when(F.col("protected") | F.col("leading_zeros"), "character").when(F.col("logical"), "logical").when(F.col("integer"), "integer").when(F.col("double"), "double").when(F.col("date"), "date").when(F.col("datetime"), "datetime").when(few, "factor").otherwise("character")
     return got.select("column", "n", "n_unique", kind.alias("type"))
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, missing, distinct values (null counts as one), least and greatest as text. One pass over the table."""
+    """One row per column: type, rows, missing, distinct values (null counts as one), least and greatest as text. One pass over the table, and one for distinct values."""
     parts = []
     for c, kind in df.dtypes:
         ordered = kind in ("int", "bigint", "double", "float", "date", "timestamp", "timestamp_ntz")
@@ -61,13 +66,13 @@ def profile(df: DataFrame) -> DataFrame:
                 F.lit(kind).alias("type"),
                 F.count("*").alias("n"),
                 F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"),
-                (F.count_distinct(c) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))).cast("long").alias("n_unique"),
                 (F.min(c).cast("string") if ordered else null).alias("min"),
                 (F.max(c).cast("string") if ordered else null).alias("max"),
             )
         )
-    got = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
-    return got.select("variable", "type", "n", "n_missing", F.bround(100 * F.try_divide(F.col("n_missing"), F.col("n")), 2).alias("pct_missing"), "n_unique", "min", "max")
+    got = df.agg(F.array(*parts).alias("p")).select(F.inline("p")).join(distinct_counts(df, df.columns, "variable"), "variable")
+    unique = (F.col("n_unique") + F.when(F.col("n_missing") > 0, 1).otherwise(0)).alias("n_unique")
+    return got.select("variable", "type", "n", "n_missing", F.bround(100 * F.try_divide(F.col("n_missing"), F.col("n")), 2).alias("pct_missing"), unique, "min", "max")
 
 
 def rename_by_dictionary(df: DataFrame, dictionary: dict[str, str]) -> DataFrame:
