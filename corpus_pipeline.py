@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages over documents, each of which reads all that the one before kept.
 
 Toxic documents go; of near copies (three-word shingles, Jaccard 0.9 as in the join's own contract) the smallest id stays; passages
-of 400 bytes that still repeat are cut out; the rest is sampled to the target mix; what is left is encoded.
+of over 50 words, or of 400 bytes, that still repeat are cut out; the rest is sampled to the target mix; what is left is encoded.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that repeat; n_chars is counted again."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix_dedup.without_repeats(docs, words=suffix_dedup.WORDS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,18 +36,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams; the whole sequence is one where words are fewer than the width."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
+def word_ids(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
     known = _WORDS
     if len(known) > 300_000:
         known.clear()
     for w in words:
         if w not in known:
             known[w] = xxhash.xxh3_64_intdigest(w)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word n-grams; the whole sequence is one where words are fewer than the width."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space only
+    if not words:
+        return np.empty(0, np.uint64)
+    ids = word_ids(words)
     n = max(1, len(ids) - width + 1)
     size = min(width, len(ids))
     h = np.full(n, np.uint64(size))

@@ -16,6 +16,9 @@ Bytes that lie in a string of ``length`` bytes which starts at two or more place
    its own bytes and counted by a plain aggregation, which has no hot task.
 
 Names are 64- and 128-bit hashes of two independent polynomials.
+
+Passages of some words (runs of bytes without ASCII white space) are found in the same way, with a word's hash as one symbol. An anchor
+has few windows of words, so in the third step each window that is still open is named by its own words and counted.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, sliced, staged, text_key
+from .ngram_join import word_ids
 
 LENGTH, CELL = 400, 8
+WORDS = 51  # words of a passage, where passages are told by words
 PIECE = 1 << 18  # bytes hashed at once; positions must fit in 20 bits
 HOT = 10_000
 BUCKET = 200_000  # symbols of one suffix array
@@ -63,7 +68,8 @@ class _Hashes:
         self.sums = []
         for table, up in zip(TABLES, cls.up):
             s = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[buf] * up[:n], out=s[1:])
+            symbol = table[buf] if buf.dtype == np.uint8 else self._mix(buf * table[0])
+            np.cumsum(symbol * up[:n], out=s[1:])
             self.sums.append(s)
 
     def of(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -105,11 +111,19 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     return first, stop, at, h[at], hashes.of(1, first, stop + length)
 
 
-def _pieces(keys, texts, length: int):
-    """Buffers of about PIECE bytes: (bytes, ends, keys, offset of each part in its text). Longer texts go in parts that overlap by length - 1."""
+def _bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _words(text: str | None) -> np.ndarray:
+    return word_ids((text or "").encode("utf-8", "surrogatepass").split())
+
+
+def _pieces(keys, texts, length: int, symbols):
+    """Parts of about PIECE symbols together: (key, offset of the part in its text, symbols). Longer texts go in parts that overlap by length - 1."""
     parts, held = [], 0
     for key, text in zip(keys, texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
+        data = symbols(text)
         if len(data) < length:
             continue
         for at in range(0, len(data) - length + 1, PIECE):
@@ -126,12 +140,12 @@ def _pieces(keys, texts, length: int):
 ANCHOR = "key binary, s long, e long, p long, h long, u long"
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, symbols):
     def run(batches):
         for batch in sliced(batches):
-            for parts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            for parts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, symbols):
                 ends = np.cumsum([len(x) for _, _, x in parts])
-                s, e, p, h, u = anchors(np.frombuffer(b"".join(x for _, _, x in parts), np.uint8), ends, length, gram)
+                s, e, p, h, u = anchors(np.concatenate([x for _, _, x in parts]), ends, length, gram)
                 doc = np.searchsorted(ends, s, side="right")
                 base = np.array([at for _, at, _ in parts]) - np.concatenate(([0], ends[:-1]))
                 move = base[doc]
@@ -258,13 +272,9 @@ def _leaf_rows(batches):
         yield from flush(rows)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """(key, windows): for each text (by ``text_key``) with repeats, the runs (first, last) of starts of repeated strings."""
-    gram = gram or length // 2
-    if not 0 < gram < length - CELL:
-        raise ValueError("a gram must be shorter than a cell's core")
-    base = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    anchor = staged(base.mapInArrow(_anchor_rows(length, gram), ANCHOR), "anchors")
+def _named(base: DataFrame, length: int, gram: int, symbols) -> tuple[DataFrame, DataFrame]:
+    """From texts (key, text): runs (key, first, last) of windows that repeat as a whole, and texts (key, runs) with the runs that are open."""
+    anchor = staged(base.mapInArrow(_anchor_rows(length, gram, symbols), ANCHOR), "anchors")
     # both sides of this join are plain shuffles, and what follows has keys of its own: a hot gram's rows can be split
     name = staged(anchor.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "names")
     named = staged(anchor.join(name, "h", "left_semi"), "named")
@@ -274,7 +284,50 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     whole = some.join(twice.where("n > 1").select("h", "u"), ["h", "u"], "left_semi").select("key", F.col("s").alias("first"), F.col("e").alias("last"))
     open_ = twice.where("n = 1")
     apart = twice.join(open_.groupBy("h").agg(F.lit(1).alias("x")), "h", "left_semi")
-    runs = apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs"))
+    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs"))
+
+
+def _texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
+    """(key, text) of texts of that many bytes at least."""
+    return docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= least)
+
+
+def _window_rows(length: int):
+    """Windows of words of the runs listed with each text, each named by its words."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            cols = batch.to_pydict()
+            for key, text, runs in zip(cols["key"], cols["text"], cols["runs"]):
+                data = _words(text)
+                for at in range(0, len(runs), 256):
+                    part = [(r["s"], r["own"], _Hashes(data[r["s"] : r["e"] + length]), np.arange(r["e"] - r["s"] + 1)) for r in runs[at : at + 256]]
+                    first = np.concatenate([s + x for s, _, _, x in part])
+                    own = np.concatenate([np.full(len(x), o) for _, o, _, x in part])
+                    w1, w2 = (np.concatenate([h.of(i, x, x + length) for _, _, h, x in part]).view(np.int64) for i in (0, 1))
+                    yield pa.record_batch([pa.array([key] * len(first), pa.binary()), pa.array(first), pa.array(own), pa.array(w1), pa.array(w2)], ["key", "first", "own", "w1", "w2"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, passages): as ``repeated_spans``, of strings of that many words; starts are counted in words."""
+    base = _texts(docs, text_col, 2 * words - 1)
+    whole, runs = _named(base, words, max(1, words // 2), _words)
+    window = base.join(runs, "key").dropDuplicates(["key"]).select("key", "text", "runs").mapInArrow(_window_rows(words), "key binary, first long, own boolean, w1 long, w2 long")
+    window = staged(window, "windows")
+    again = staged(window.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
+    single = window.where("own").join(again, ["w1", "w2"], "left_semi").select("key", "first", F.col("first").alias("last"))
+    return staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("passages")), "passages")
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """(key, windows): for each text (by ``text_key``) with repeats, the runs (first, last) of starts of repeated strings."""
+    gram = gram or length // 2
+    if not 0 < gram < length - CELL:
+        raise ValueError("a gram must be shorter than a cell's core")
+    base = _texts(docs, text_col, length)
+    whole, runs = _named(base, length, gram, _bytes)
     cells = staged(base.join(runs, "key").dropDuplicates(["key"]).select("key", "text", "runs").mapInArrow(_cell_rows(length), CELLS), "cells")
     core = staged(cells.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1"), "cores")
     cold = cells.join(core.where(F.col("n") <= HOT).select("c1", "c2"), ["c1", "c2"], "left_semi").select(*cells.columns)
@@ -332,22 +385,54 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.join(spans, "key", "left").select("id", "text", "windows").mapInArrow(_digests(length), schema).withColumnRenamed("doc_id", id_col)
 
 
-def _cut(length: int):
+SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def _byte_ranges(data: bytes, ranges) -> list[tuple[int, int]]:
+    """Ranges of words as ranges of bytes, from the first byte of the first word to the last of the last."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACES[np.frombuffer(data, np.uint8)], [True])))).tolist()
+    return [(edge[2 * a], edge[2 * b - 1]) for a, b in ranges]
+
+
+def _cut(length: int, words: int):
+    def cut(text, windows, passages):
+        if text is None or (windows is None and passages is None):
+            return text
+        data = text.encode("utf-8", "surrogatepass")
+        ranges = merged(windows, length)
+        if passages is not None:
+            both = sorted(ranges + _byte_ranges(data, merged(passages, words)))
+            ranges = []
+            for start, end in both:
+                if ranges and start <= ranges[-1][1]:
+                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], end))
+                else:
+                    ranges.append((start, end))
+        return _kept(data, ranges).decode("utf-8", "ignore")
+
     def run(batches):
         for batch in sliced(batches):
-            at = batch.schema.get_field_index("text")
-            texts = [t if w is None or t is None else _kept(t.encode("utf-8", "surrogatepass"), merged(w, length)).decode("utf-8", "ignore") for t, w in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch(cols, batch.schema.names[:-1])
+            at, n = batch.schema.get_field_index("text"), batch.num_columns - 2
+            texts = list(map(cut, *(batch.column(i).to_pylist() for i in (at, n, n + 1))))
+            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(n)]
+            yield pa.record_batch(cols, batch.schema.names[:n])
 
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated bytes cut out of ``text`` (a character of which a part is cut goes with it); all rows stay, other columns are untouched."""
-    spans = repeated_spans(docs, "text", length).withColumnsRenamed({"key": "_key", "windows": "_windows"})
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """The documents with repeated bytes cut out of ``text`` (a character of which a part is cut goes with it); all rows stay, other columns are untouched.
+
+    Where ``words`` is given, passages of that many words that repeat go as well, however few bytes they have.
+    """
+    spans = repeated_spans(docs, "text", length)
+    if words is None:
+        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<first: long, last: long>>"))
+    else:
+        spans = spans.join(repeated_passages(docs, "text", words), "key", "full")
+    spans = spans.select(F.col("key").alias("_key"), F.col("windows").alias("_windows"), F.col("passages").alias("_passages"))
     joined = docs.withColumn("_key", text_key()).join(spans, "_key", "left").drop("_key")
-    return joined.mapInArrow(_cut(length), docs.schema)
+    return joined.mapInArrow(_cut(length, words or WORDS), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

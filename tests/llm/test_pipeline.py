@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -82,3 +83,12 @@ def test_odd_documents(spark, tmp_path):
             frame = stage(spark, frame, str(tmp_path))
         assert "ids" in frame.columns and frame.count() >= 0
 
+
+
+def test_short_passages_are_cut(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    shared = [prose(n) for n in range(51, 61)]
+    docs = spark.createDataFrame([(10 * i + k, f"{prose(60)} {s} {prose(60)}", "en", "s", 1) for i, s in enumerate(shared) for k in (0, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.repeated_passages_stage(spark, docs, SF).collect()
+    assert [len(r.text.split()) for r in out] == [120] * 20 and all(r.n_chars == len(r.text) for r in out)

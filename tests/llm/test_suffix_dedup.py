@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,44 @@ def test_without_repeats_keeps_columns(spark):
     docs = spark.createDataFrame([(1, t, "u"), (2, "v" + t + "w", "u"), (3, None, None)], "doc_id long, text string, windows string")
     out = sd.without_repeats(docs).orderBy("doc_id").collect()
     assert [tuple(r) for r in out] == [(1, "", "u"), (2, "vw", "u"), (3, None, None)]
+
+
+def brute_passages(texts, words):
+    """The texts without their 400-byte repeats and their repeats of that many words."""
+    data = [(t or "").encode() for t in texts]
+    split = [[m.span() for m in re.finditer(rb"[^\t-\r ]+", d)] for d in data]
+    names = [[d[a:b] for a, b in x] for d, x in zip(data, split)]
+    seen = Counter(tuple(n[i : i + words]) for n in names for i in range(len(n) - words + 1))
+    strings = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    out = []
+    for d, x, n in zip(data, split, names):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - 399):
+            if strings[d[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        for i in range(len(n) - words + 1):
+            if seen[tuple(n[i : i + words])] > 1:
+                gone[x[i][0] : x[i + words - 1][1]] = True
+        out.append(bytes(b for b, g in zip(d, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def test_passages_of_short_words(spark, monkeypatch):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    out = [None, "", "a " * 60, "\n" + "ab " * 51, "x" * 900, "y" + "x" * 900]
+    for n in (*range(51, 61), 50, 20):  # each twice, and the last two too short to be cut
+        shared = prose(n)
+        assert len(shared.encode()) < 400
+        out += [f"{prose(80)} {shared}\n{prose(80)}", f"{prose(30)}\t{shared} {prose(200)}"]
+    common = prose(70)  # one passage in many texts, whole and in parts
+    for _ in range(30):
+        out.append(prose(rng.randint(0, 60)) + " " + " ".join(common.split()[rng.randint(0, 9) : 70 - rng.randint(0, 9)]) + " " + prose(rng.randint(0, 60)))
+    out.append(out[10])
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    want = brute_passages(out, 51)
+    for piece in (sd.PIECE, 150):
+        monkeypatch.setattr(sd, "PIECE", piece)
+        got = sd.without_repeats(docs, words=51).orderBy("doc_id").collect()
+        assert [r.text or "" for r in got] == want
+    assert sd.without_repeats(docs.limit(0), words=51).collect() == []
