@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over documents, each of which reads all that the one before kept.
 
-Toxic documents go; of near copies (three-word shingles, Jaccard 0.9 as in the join's own contract) the smallest id stays; passages
+Toxic documents go; of near copies (five-word shingles, Jaccard 0.8 or more) the smallest id stays; passages
 of over 50 words, or of 400 bytes, that still repeat are cut out; the rest is sampled to the target mix; what is left is encoded.
 """
 
@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; rows with a null id stay."""
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, width=5, num=4, den=5)
 
 
 def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,19 @@ def test_short_passages_are_cut(spark):
     docs = spark.createDataFrame([(10 * i + k, f"{prose(60)} {s} {prose(60)}", "en", "s", 1) for i, s in enumerate(shared) for k in (0, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     out = cp.repeated_passages_stage(spark, docs, SF).collect()
     assert [len(r.text.split()) for r in out] == [120] * 20 and all(r.n_chars == len(r.text) for r in out)
+
+
+def test_near_copies_by_five_words(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(120)]
+        for changed in (0, 1, 2, 3, 5, 8):
+            text = list(base)
+            for at in rng.sample(range(120), changed):
+                text[at] = "new"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want, tight = ([i for i, _, c in brute_links(rows, *by) if i == c] for by in ((5, 4, 5), (3, 9, 10)))
+    assert sorted(r.doc_id for r in cp.near_copies_stage(spark, docs, SF).collect()) == sorted(want) != sorted(tight)
