@@ -29,8 +29,8 @@ def repeated_passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have the target shares of sources, languages and topics."""
-    return mixing.mixed(docs)
+    """A sample of up to three quarters of the tokens with the target shares of sources, languages and topics as far as there are texts."""
+    return mixing.mixed(docs, budget=mixing.BUDGET)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Token counts of the cells (source, language, topic) are raked: each round scales the cells so that one marginal after the other
 has its target shares. A cell's factor, divided by the largest one, is the probability with which its documents are kept, so the
-expected tokens of the sample have the target marginals. What is kept is decided by a hash of the id alone.
+expected tokens of the sample have the target marginals. That ties the size of the sample to the scarcest cell. Where a budget is
+given instead, cells are raked to that part of the tokens with no probability above 1: scarce values are kept as far as there are
+any, the others have their shares of the budget, and a stray value costs no more than its own tokens. What is kept is decided by a hash of the id alone.
 
 Only cells are raked; the documents are read once to count and once to sample, and meet a table of one row per cell.
 """
@@ -16,6 +18,7 @@ from .common import read, staged
 
 MARGINS = ("source", "lang", "topic")
 POWER = 0.8  # where no targets are given, a value's share is its share of tokens to this power, normalised
+BUDGET = 0.75  # part of the tokens that a sample with a budget is raked to
 ROUNDS, CUT = 20, 1  # rounds; rounds between two written tables: a plan of one round is compiled once for all
 SHORT_LINE = 12  # tokens
 
@@ -38,11 +41,12 @@ def _value(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str | None, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str | None, float]] | None = None, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
     """Adds ``factor`` to cells (margins..., t): t * factor has the target shares on each margin, as far as they can be met.
 
     ``targets`` gives shares by value for some margins (null by None; values it does not name get none); for the others the
     shares are those of the tokens to the power POWER. A margin whose cells are all empty keeps its factors.
+    With a ``budget`` the sum of t * factor is that part of all t at most, and no factor is above 1.
     """
     cells = cells.withColumn("factor", F.lit(1.0))
     for m in margins:
@@ -60,7 +64,8 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict[str
     for r in range(rounds):
         for m in margins:
             now = F.sum(F.col("t") * F.col("factor")).over(Window.partitionBy(m))
-            cells = cells.withColumn("factor", F.col("factor") * F.when(now > 0, F.col(f"goal_{m}") * F.col("whole") / now).otherwise(1.0))
+            scaled = F.col("factor") * F.when(now > 0, F.col(f"goal_{m}") * F.col("whole") * F.lit(1.0 if budget is None else float(budget)) / now).otherwise(1.0)
+            cells = cells.withColumn("factor", scaled if budget is None else F.least(scaled, F.lit(1.0)))
         if r % CUT == CUT - 1:
             cells = staged(cells, "cells")
     return cells.select(*margins, "t", "factor")
@@ -71,30 +76,32 @@ def _chance(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _probabilities(docs: DataFrame, targets) -> DataFrame:
+def _probabilities(docs: DataFrame, targets, budget: float | None = None) -> DataFrame:
     """(margins..., p) from documents with the margins' values and n_tokens."""
     cells = staged(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("t")), "counted")
-    raked = staged(rake(cells, MARGINS, targets), "raked")
+    raked = staged(rake(cells, MARGINS, targets, budget=budget), "raked")
+    if budget is not None:  # cells without tokens take nothing of the budget
+        return raked.select(*MARGINS, F.when((F.col("t") == 0) & (F.col("factor") > 0), 1.0).otherwise(F.col("factor")).alias("p"))
     most = raked.where("t > 0").agg(F.max("factor").alias("most"))
     return raked.join(F.broadcast(most)).select(*MARGINS, F.coalesce(F.least(F.try_divide("factor", "most"), F.lit(1.0)), F.lit(1.0)).alias("p"))
 
 
-def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None) -> DataFrame:
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, budget: float | None = None) -> DataFrame:
     """One row per document: (id, n_tokens, topic, p, kept). A document is kept where the hash of its id lies under its cell's probability.
 
     Nulls in source and lang are a value of their own. Null and empty texts have no tokens and the topic ``empty``; where a whole
     table has no tokens, all is kept. Rows that repeat an id are kept together. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("_id"), _value("source").alias("source"), _value("lang").alias("lang"), topic(text_col).alias("topic"), tokens(text_col).alias("n_tokens"))
-    joined = base.join(_probabilities(base, targets), list(MARGINS))
+    joined = base.join(_probabilities(base, targets, budget), list(MARGINS))
     return joined.select(F.col("_id").alias(id_col), "n_tokens", "topic", F.round("p", 9).alias("p"), (_chance("_id") < F.col("p")).alias("kept"))
 
 
-def mixed(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict | None = None, budget: float | None = None) -> DataFrame:
     """The sampled documents, with their own columns."""
     own = docs.columns
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_doc"), _value("source").alias("source"), _value("lang").alias("lang"), topic().alias("topic"), tokens().alias("n_tokens"))
-    joined = tagged.join(_probabilities(tagged, targets), list(MARGINS))
+    joined = tagged.join(_probabilities(tagged, targets, budget), list(MARGINS))
     return joined.where(_chance("_doc.doc_id") < F.col("p")).select("_doc.*")
 
 

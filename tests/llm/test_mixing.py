@@ -55,3 +55,13 @@ def test_odd_rows_against_sql(spark):
     assert sorted((tuple(r[c] for c in ("doc_id", "n_tokens", "topic", "p", "kept")) for r in mx.sampled(df).collect()), key=str) == want
     assert mx.mixed(df).columns == df.columns
     assert mx.sampled(df.limit(0)).collect() == [] and mx.mixed(df.limit(0)).collect() == []
+
+
+def test_a_rare_row_does_not_shrink_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = docs.unionByName(spark.createDataFrame([(-1, "one row of a language of its", "xx", "src0")], docs.schema))
+    got = mx.sampled(rare, budget=mx.BUDGET).join(rare.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("p") * F.col("n_tokens")).alias("x"), F.max("p").alias("p")).collect()
+    whole, kept = sum(r.t for r in got), sum(r.x for r in got)
+    goal = {r.lang: r.t**mx.POWER for r in got}
+    assert 0.7 < kept / whole <= mx.BUDGET and all(0 < r.p <= 1 for r in got)
+    assert all(abs(r.x / kept - goal[r.lang] / sum(goal.values())) < 0.02 for r in got)
