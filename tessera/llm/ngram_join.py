@@ -215,13 +215,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """Of each group of linked documents the row with the smallest id, with all its columns; of rows that repeat an id one stays.
+    """Of each group of linked texts the row with the smallest id, with all its columns; rows that repeat both id and text count once.
 
+    Rows are told apart by id and text, so a text that is linked with nothing stays whatever other texts its id has.
     Documents without words are linked with nothing and all stay, as do rows with a null id.
     """
-    found = jaccard_components(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", width, num, den)
-    stay = found.where("_id = component_id").select(F.col("_id")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["_id"], "left_semi").dropDuplicates([id_col])
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(row.alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    found = jaccard_components(rows.select("_row", "_text"), "_row", "_text", width, num, den)
+    group = found.select("_row", "component_id").distinct().join(rows.select("_row", "_id").distinct(), "_row")
+    stay = group.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row")).select("_row")
+    kept = docs.where(F.col(id_col).isNotNull()).withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -69,3 +69,10 @@ def test_odd_rows(spark):
     assert sorted((tuple(r) for r in nj.jaccard_components(df).collect()), key=str) == sorted([(None, 2, None), (5, 2, 5), (9, 2, 5), (9, 2, 5)], key=str)
     assert nj.jaccard_components(df.limit(0)).collect() == []
     assert sorted(r.doc_id or 0 for r in nj.representatives(df).collect()) == [0, 5]
+
+
+def test_representatives_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (3, a), (9, b), (9, c), (4, None), (4, None), (None, c)]
+    kept = nj.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(3, a), (7, b), (9, c), (4, None), (None, c)], key=str)
