@@ -181,15 +181,21 @@ def held_out(id_col: str, folds: int = 5) -> F.Column:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_text: int = PER_TEXT) -> Model:
     """Learns from a bounded sample: per language the ``sample`` first bytes of distinct texts (up to ``per_text`` characters of each) in order of a hash."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, per_text).alias("text"))
-    count = staged(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # a text's level: the binary digits of its place in the order; each level holds about as many distinct texts as all below it
+    known = known.withColumn("h", F.xxhash64("text")).withColumn("level", F.length(F.bin(F.shiftrightunsigned("h", 1))))
+    once = known.select("lang", "h", "level", F.octet_length("text").alias("bytes")).groupBy("lang", "h", "level").agg(F.min("bytes").alias("bytes"))
+    level = once.groupBy("lang", "level").agg(F.sum("bytes").alias("bytes"))
+    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("level"))
+    count = level.withColumn("upto", upto).groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= sample, F.col("level"))), F.lit(64)).alias("most"))
+    count = staged(count, "languages")
     count = F.broadcast(count) if count.count() <= SENT else count  # one row per language
-    # texts that can be drawn: as many as would fill the sample were each 150 bytes, three times over to leave room for copies
-    drawn = known.join(count, "lang").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < (1 << 30) * 3.0 * sample / 150)
-    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    order = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    # texts that can be drawn: the levels that fill the sample, or all where all do not
+    drawn = known.join(count, "lang").where(F.col("level") <= F.col("most"))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("place", F.shiftrightunsigned("h", 1))
+    order = Window.partitionBy("lang").orderBy("place", "h").rowsBetween(Window.unboundedPreceding, -1)
     some = drawn.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))).where(F.col("before") < sample)
     samples: dict[str, list[str]] = {}
-    for r in some.orderBy("lang", "h").select("lang", "text").collect():
+    for r in some.orderBy("lang", "place", "h").select("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text)
     return Model.of({k: " ".join(v) for k, v in samples.items()})
 

@@ -47,3 +47,15 @@ def test_undetermined_and_odd_rows(spark):
     assert by[None].held_out and by[None].lang_pred in ("en", "fr")
     assert lg.identify(docs.limit(0)).collect() == []
     assert {r.lang_pred for r in lg.identify(docs.drop("lang").selectExpr("*", "cast(null as string) AS lang")).collect()} == {"und"}
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    alphabets = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx"}
+    rng = np.random.default_rng(2)
+    text = {k: " ".join("".join(rng.choice(list(v), 5)) for _ in range(8)) for k, v in alphabets.items()}
+    rows = [(text[k], k) for k in alphabets for _ in range(10_000)]
+    rows += [("".join(rng.choice(list("yzß"), 20)), "short") for _ in range(6_000)]  # distinct texts of few bytes fill the sample as well
+    model = lg.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == [*alphabets, "short"]
+    assert [a.learned for a in model.automata[:4]] == [len(lg.normal_bytes(text[k])) for k in alphabets]
+    assert lg.SAMPLE <= model.automata[4].learned < 1.1 * lg.SAMPLE
