@@ -5,8 +5,9 @@ matches: follow the automaton while it goes on, and where it does not, a phrase
 it. Fewer phrases mean a text closer to the language; phrases * log2(learned symbols) / symbols is the cross entropy in bits, and
 the language with the least wins.
 
-A text is parsed in blocks of BLOCK symbols (no phrase goes from one block to the next), so that all blocks of many texts walk
-one transition table in step, as whole-array operations.
+All blocks of BLOCK symbols of many texts walk one transition table in step, as whole-array operations. At first each block starts
+afresh; then those whose block before ended in another state walk again from there, until none does: parses soon fall into step,
+so few walks are needed, and the result is that of one walk over the whole text.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ BLOCK = 512
 LETTER = regex.compile(r"\p{L}")
 SPACE, PAD = 0, 1  # symbols; learned bytes follow, and one symbol stands for all others
 UNKNOWN = "und"
-SENT = 100_000  # languages whose counts are sent to all tasks; more are joined by shuffle
 SAMPLE = 60_000  # bytes of text learned per language
-PER_TEXT = 3_000  # characters that one document adds to the sample at most
+TOTAL = 600_000  # bytes of text learned of all languages, which share them alike: what a worker holds is some hundred bytes for each
+LANGUAGES = 600  # languages learned: those with most rows
+PART = 3_000  # characters of the parts in which whole texts enter the draw
 
 
 def normal_bytes(text: str) -> np.ndarray:
@@ -133,15 +135,26 @@ class Model:
             at += int(b) * BLOCK
         columns = np.ascontiguousarray(grid.T)
         of = np.repeat(np.arange(len(texts)), blocks)
+        later = np.flatnonzero(of[1:] == of[:-1]) + 1  # blocks that follow one of the same text
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True)) if len(of) else later
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         low, bits = np.uint32((1 << 30) - 1), np.uint32(30)
-        for k, table in enumerate(self.tables()):
-            state, count = np.zeros(len(grid), np.uint32), np.zeros(len(grid), np.uint32)
+
+        def walk(table, columns, state):
+            count = np.zeros(len(state), np.uint32)
             for column in columns:
                 step = table[state + column]
                 count += step >> bits
                 state = step & low
-            count += state != 0
+            return state, count
+
+        for k, table in enumerate(self.tables()):
+            start = np.zeros(len(grid), np.uint32)
+            end, count = walk(table, columns, start)
+            while len(again := later[start[later] != end[later - 1]]):
+                start[again] = end[again - 1]
+                end[again], count[again] = walk(table, np.ascontiguousarray(columns[:, again]), start[again])
+            count[last] += end[last] != 0
             out[:, k] = np.bincount(of, count, len(texts))
         return out
 
@@ -178,18 +191,25 @@ def held_out(id_col: str, folds: int = 5) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_text: int = PER_TEXT) -> Model:
-    """Learns from a bounded sample: per language the ``sample`` first bytes of distinct texts (up to ``per_text`` characters of each) in order of a hash."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, per_text).alias("text"))
-    # a text's level: the binary digits of its place in the order; each level holds about as many distinct texts as all below it
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Learns from a bounded sample: per language the first ``sample`` bytes of the distinct parts of whole texts in order of a hash.
+
+    The LANGUAGES languages with most rows are learned (ties by name); where more than TOTAL / ``sample`` are, each has an equal share of TOTAL.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    langs = staged(langs.select("lang"), "languages")
+    sample = min(sample, TOTAL // max(1, langs.count()))
+    part = F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))
+    known = rows.join(F.broadcast(langs), "lang").select("lang", part.alias("text"))  # LANGUAGES rows at most
+    # a part's level: the binary digits of its place in the order; each level holds about as many distinct parts as all below it
     known = known.withColumn("h", F.xxhash64("text")).withColumn("level", F.length(F.bin(F.shiftrightunsigned("h", 1))))
     once = known.select("lang", "h", "level", F.octet_length("text").alias("bytes")).groupBy("lang", "h", "level").agg(F.min("bytes").alias("bytes"))
     level = once.groupBy("lang", "level").agg(F.sum("bytes").alias("bytes"))
     upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("level"))
     count = level.withColumn("upto", upto).groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= sample, F.col("level"))), F.lit(64)).alias("most"))
-    count = staged(count, "languages")
-    count = F.broadcast(count) if count.count() <= SENT else count  # one row per language
-    # texts that can be drawn: the levels that fill the sample, or all where all do not
+    count = F.broadcast(staged(count, "levels"))  # one row per language
+    # parts that can be drawn: the levels that fill the sample, or all where all do not
     drawn = known.join(count, "lang").where(F.col("level") <= F.col("most"))
     drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("place", F.shiftrightunsigned("h", 1))
     order = Window.partitionBy("lang").orderBy("place", "h").rowsBetween(Window.unboundedPreceding, -1)

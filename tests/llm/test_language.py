@@ -25,7 +25,44 @@ def test_phrases_against_brute_force(seed):
         for k, lang in enumerate("xy"):
             learned = model.symbol[lg.normal_bytes(samples[lang])].tobytes()
             s = model.symbol[t].tobytes()
-            assert got[i, k] == sum(brute_phrases(learned, s[a : a + lg.BLOCK]) for a in range(0, len(s), lg.BLOCK))
+            assert got[i, k] == brute_phrases(learned, s)
+
+
+@pytest.mark.parametrize("block", [2, 7, 64])
+def test_phrases_reach_over_blocks(monkeypatch, block):
+    monkeypatch.setattr(lg, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    sample = "ab" * 200 + "".join(rng.choice(list("abc"), 200))
+    model = lg.Model.of({"x": sample})
+    texts = [lg.normal_bytes(t) for t in ("ab" * 100, "a", "ba" * 33 + "c", "".join(rng.choice(list("abcz"), 700)), "zzzz" * 9)]
+    learned = model.symbol[lg.normal_bytes(sample)].tobytes()
+    assert model.phrases(texts)[:, 0].tolist() == [brute_phrases(learned, model.symbol[t].tobytes()) for t in texts]
+
+
+def test_prediction_against_brute_force_and_ties(spark):
+    rng = np.random.default_rng(9)
+    samples = {"p": "".join(rng.choice(list("abcd "), 400)), "q": "".join(rng.choice(list("cdef "), 400)), "r": "ghghgh", "s": "ghghgh"}
+    model = lg.Model.of(samples)
+    texts = ["".join(rng.choice(list("abcdefgh "), int(n))) + "a" for n in rng.integers(1, 900, 60)] + ["ghgh", "hg"]
+    got, scores = model.predict(texts)
+    for text, lang, score in zip(texts, got, scores):
+        s = model.symbol[lg.normal_bytes(text)].tobytes()
+        cost = {}
+        for k, v in samples.items():
+            learned = model.symbol[lg.normal_bytes(v)].tobytes()
+            cost[k] = brute_phrases(learned, s) * np.log2(max(2, len(learned))) / len(s)
+        first, second = sorted(cost.values())[:2]
+        assert lang == min(k for k in cost if cost[k] == first) and abs(score - (1 - first / second)) < 1e-9
+    assert got[-2:] == ["r", "r"] and scores[-2:] == [0.0, 0.0]  # ties: the first by name
+
+
+def test_parts_of_whole_texts_and_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([("a" * 3000 + "b" * 3000 + "c" * 10, "x"), (None, "x"), ("d", "y"), ("e", "y"), ("f", "z")], "text string, lang string")
+    assert [a.learned for a in lg.learn(docs).automata] == [6012, 3, 1]
+    monkeypatch.setattr(lg, "LANGUAGES", 2)
+    assert lg.learn(docs).langs == ["x", "y"]
+    monkeypatch.setattr(lg, "TOTAL", 2)
+    assert [a.learned for a in lg.learn(docs).automata][1] == 1
 
 
 def test_accuracy_on_held_out(spark):
