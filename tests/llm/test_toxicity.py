@@ -35,3 +35,38 @@ def test_odd_rows(spark):
     assert sorted(r.toxic for r in tx.score(docs, one).collect()) == [False] * 4
     assert tx.score(docs.limit(0), none).collect() == []
     assert tx.without_toxic(docs.selectExpr("*", "'c' AS p_toxic"), one).count() == 4
+
+
+def test_scores_against_plain_sums(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["red", "green", "Blue", "größe", "yellowish"]) for _ in range(rng.randint(1, 30))) + (rng.choice([" awful", " nastyness vile", " vilest"]) if i % 2 else "") for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (300, None), (301, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300) if i % 5], "doc_id long, toxic int")
+    chain = tx.learn(docs, labels)
+    place = {f: i for i, f in enumerate(chain.chosen.tolist())}
+    assert place
+    for r in tx.score(docs, labels).collect():
+        text = texts[r.doc_id] if r.doc_id < 300 else ""
+        found = {f for w in tx.WORD.findall(text.lower()) for f in tx.features_of(w)}
+        before = []
+        for m in chain.models:
+            z = m.bias + sum(m.weights[place[f]] for f in found if f in place) + sum(w * p for w, p in zip(m.dense, before))
+            before.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([r.p_repeated, r.p_severe, r.p_toxic], before) and r.toxic == (before[-1] >= 0.5)
+
+
+def test_choice_of_features_leaves_out_the_fold():
+    counts = np.zeros((2, tx.SPACE), np.int64)
+    counts[1, 7] = 20
+    assert tx._selected(counts, np.array([100, 100]))[0].tolist() == [7]
+    assert tx._selected(counts * 0, np.array([100, 100]))[0].tolist() == []
+
+
+def test_repeated_ids_and_full_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"{'vile' if i % 2 else 'kind'} w{i // 40}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    chain = tx.learn(docs, labels)
+    p = chain.predict(["vile", "kind"])[:, 2]
+    assert p[0] > 0.5 > p[1]
+    monkeypatch.setattr(tx, "SAMPLE_BYTES", 1)  # one text of each class
+    assert tx.learn(docs, labels).predict(["vile"]).shape == (1, 3)
