@@ -7,9 +7,9 @@ Access, rank (count) and select (occurrence lookup) need only the planes and the
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-import unicodedata
 import zlib
 
 import numpy as np
@@ -28,7 +28,6 @@ BLOCK = 512
 SHARD_TOKENS = 4_000_000
 END_ID = 1
 READERS = 4096  # tasks at most that read shards, one shard or more each
-NO_ID = np.iinfo(np.int64).min  # stands for a null document id
 
 
 def _planes(ids: np.ndarray, bits: int):
@@ -152,38 +151,64 @@ class WaveletMatrix:
         return ids
 
 
-def shard_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> list[bytes]:
-    head = zstandard.ZstdCompressor(level=1).compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes())
+def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> list[bytes]:
+    """A shard file: the documents' ids (a flag for null ones) and lengths, then the wavelet matrix."""
+    null = np.array([i is None for i in doc_ids], np.uint8)
+    known = np.array([i or 0 for i in doc_ids], "<i8")
+    head = zstandard.ZstdCompressor(level=1).compress(known.tobytes() + lengths.astype("<i8").tobytes() + null.tobytes())
     return [MAGIC, struct.pack("<QQ", len(doc_ids), len(head)), head, WaveletMatrix.of(ids, bits).to_bytes()]
 
 
-def open_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """(document ids, lengths, tokens) of a shard file."""
+def open_shard(data: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, WaveletMatrix]:
+    """(document ids, null ones masked; lengths; tokens) of a shard file."""
     if data[:8] != MAGIC:
         raise ValueError("not a wavelet shard")
     n, size = struct.unpack_from("<QQ", data, 8)
-    head = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[24 : 24 + size]), "<i8")
-    return head[:n], head[n:], WaveletMatrix.from_bytes(data[24 + size :])
+    head = zstandard.ZstdDecompressor().decompress(data[24 : 24 + size])
+    numbers, null = np.frombuffer(head, "<i8", 2 * n), np.frombuffer(head, bool, n, 16 * n)
+    return np.ma.array(numbers[:n], mask=null), numbers[n:], WaveletMatrix.from_bytes(data[24 + size :])
 
 
-_TIGHT = re.compile(r"(?:[^\w \t\n\r]|_)[.,] ")
+#: Letters that are one letter in NFC, alone and as small letters, and that no letter beside them changes.
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u05d0-\u05ea\u0621-\u064a\u0904-\u0939\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_WORD = re.compile(f"[{LETTERS}]+")
+_TIGHT = re.compile(f"[^{LETTERS}0-9 \t\n\r][.,] ")
 _MARK = re.compile("[\u0300-\u036f]")
+#: The pipeline before the merges for which texts may be cut into runs.
+SPLITTABLE = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def splittable(spec: dict) -> bool:
+    """Whether a tokenizer file normalizes and splits such that no token reaches over white space, or from a letter or digit to a stop or comma."""
+    before = spec.get("pre_tokenizer") or {}
+    parts = before.get("pretokenizers") or [{}, {}]
+    known = [spec.get("normalizer"), (parts[0].get("pattern") or {}).get("Regex"), parts[-1]] == SPLITTABLE and len(parts) == 2
+    whole = parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True and spec.get("truncation") is None and spec.get("padding") is None
+    added = all("<|" in t["content"] and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    return known and whole and added
 
 
 class Encoder:
-    """The library's ids of whole texts, from its ids of the runs between spaces and line ends.
+    """The library's ids of whole texts.
 
-    No pattern or merge of this kind of tokenizer (normalizer NFC, white space, lower case; split by character class) reaches over
-    white space, so the ids of a text are those of its runs in order; nor does one reach from a letter or digit to a full stop or
-    comma that ends a run. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered`` new ones
-    were, and as many before them. ASCII capitals are made small first, so that fewer runs differ, but not in texts that could
+    Where the tokenizer is ``splittable`` they come from its ids of the runs between spaces and line ends: no pattern or merge reaches
+    over white space, so the ids of a text are those of its runs in order; nor does one reach from a letter of LETTERS or a digit to a
+    full stop or comma that ends a run. Runs repeat, and each is encoded once while it is remembered: the runs met since ``remembered``
+    new ones were, and as many before them. ASCII capitals are made small first, so that fewer runs differ, but not in texts that could
     hold a special token or have combining marks, which a small letter may join where the capital does not.
+    Any other tokenizer encodes each text as a whole.
     """
 
     def __init__(self, path: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.before, self.remembered = Tokenizer.from_file(path), {}, {}, remembered
+        with open(path, encoding="utf-8") as f:
+            self.runs = splittable(json.load(f))
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
 
@@ -194,17 +219,20 @@ class Encoder:
         if "<|" not in text and not _MARK.search(text):
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         text = text.replace("\n", " ")
-        if not _TIGHT.search(text):  # no stop or comma before a space belongs to a longer run of marks
+        if not _TIGHT.search(text):  # every stop or comma before a space follows a space, a letter or a digit
             text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(got.ids, self.kind).tobytes() for got in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def _learn(self, runs: set[str]) -> None:
         known = self.known
         before = self.before
         old = {r: before[r] for r in runs if r in before} if before else {}
         known.update(old)
         new = runs.difference(old)
-        words = [r for r in new if r.isalpha() and (r.isascii() or r.lower().isalpha() and unicodedata.is_normalized("NFC", r))]
+        words = list(filter(_WORD.fullmatch, new))
         # each of those is one word for the library, so many can be one text
         size = self.kind.itemsize
         for at in range(0, len(words), 5000):
@@ -214,9 +242,11 @@ class Encoder:
             cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * size).tolist()
             known.update(zip(part, map(ids.__getitem__, map(slice, cut, cut[1:]))))
         rest = list(new.difference(words))
-        known.update((r, np.array(got.ids, self.kind).tobytes()) for r, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
+        known.update(zip(rest, self._whole(rest)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.runs:
+            return self._whole([t or "" for t in texts])
         if len(self.known) > self.remembered:
             self.known, self.before = {}, self.known
         runs = [self._runs(t) for t in texts]
@@ -245,7 +275,7 @@ def _write(folder: str, path: str, shard_tokens: int):
 
         def shard():
             lengths = np.array([len(x) // encode.kind.itemsize for x in held], np.int64)
-            data = shard_bytes(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(held), encode.kind), encode.bits)
+            data = shard_bytes(ids, lengths, np.frombuffer(b"".join(held), encode.kind), encode.bits)
             at = write_file(folder, f"shard-{part:06d}-{seq:06d}.wvm", data)
             return pa.record_batch([pa.array([x], k) for x, k in zip((part, seq, at, len(ids), int(lengths.sum())), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "path", "docs", "tokens"])
 
@@ -253,7 +283,7 @@ def _write(folder: str, path: str, shard_tokens: int):
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 for i, tokens in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                    ids.append(NO_ID if i is None else i)
+                    ids.append(i)
                     held.append(tokens + end)
                     count += len(held[-1]) // encode.kind.itemsize
                     if count >= shard_tokens:
@@ -291,13 +321,15 @@ def _read(batches):
             raw = matrix.all().astype("<u4").tobytes()
             ends = np.cumsum(lengths)
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-            yield pa.record_batch([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([path] * len(crc), pa.string())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+            yield pa.record_batch([pa.array(doc_ids), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([path] * len(crc), pa.string())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files of a manifest: where its ids start in the whole sequence, how many, their CRC-32."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    placed = manifest.select("path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("start"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition that wrote
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    placed = manifest.join(parts, "part").select("path", (F.col("base") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).alias("start"))
     tasks = max(1, min(manifest.count(), READERS))
     return placed.repartition(tasks).mapInArrow(_read, READ)
 

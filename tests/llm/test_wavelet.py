@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -63,3 +65,40 @@ def test_whole_table(spark):
     got = wm.query(spark, sf).orderBy("doc_id").collect()
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == expected([r.text for r in rows])
+
+
+def _same(texts):
+    whole = Tokenizer.from_file(PATH)
+    got = wm.Encoder(PATH)(texts)
+    for text, ids, want in zip(texts, got, whole.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u2").tolist() == want.ids, repr(text)
+
+
+def test_every_code_point_before_a_stop():
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c > 0xE0000 and c < 0xE0200)]
+    for at in range(0, len(points), 50_000):
+        part = points[at : at + 50_000]
+        _same([f"a{c}. b{c}, K{c}" for c in part])
+
+
+def test_random_texts_are_encoded_as_whole_texts():
+    rng = random.Random(12)
+    alphabets = ["aAbBzZ .,'\n\u0130\u0131\u0307\u0327İKıſ\u212a", "कख\u093c\u095c\u0958़, . ग", "\u09dc\u0a36\ufb2a\u05e9\u05bc., אב", "éÉe\u0301E\u0301nÑß. ,'sS'LL<|endoftext|>", "漢字かなガカ\u3099ハ゜한국\u1100\u1161. , 12٣½", "\u00a0\u2003\t\r\x0b\x85 .,a1_-ΣςσΩ\u1fb3"]
+    texts = ["".join(rng.choice(rng.choice(alphabets[:1] + [a])) for _ in range(rng.randint(1, 30))) for a in alphabets for _ in range(6_000)]
+    texts += ["İ. x", "KADIKÖYİ, evet", "पहाड़, और", None, "", "x <|endoftext|>. y"]
+    _same(texts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    with open(other, encoding="utf-8") as f:
+        assert not wm.splittable(json.load(f))
+    text = "Two  spaces, and a line.\nEnd"
+    assert np.frombuffer(wm.Encoder(other)([text])[0], "<u2").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
+def test_smallest_id_and_null(spark, tmp_path):
+    low = -(2**63)
+    docs = spark.createDataFrame([(low, "a"), (None, "b c"), (3, None)], "doc_id long, text string")
+    got = wm.read_shards(wm.write_shards(docs, f"file://{tmp_path}/w")).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 3), (low, 3, 2), (3, 5, 1)]
