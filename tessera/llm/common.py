@@ -45,6 +45,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a staged table that no later step reads."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sliced(batches, rows: int = 256):
     """The same rows in small batches, so that a worker never holds the Python objects of many texts at once."""
     for batch in batches:
@@ -57,6 +66,20 @@ def text_key(text: str = "text") -> F.Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32))
 
 
+HOT_KEYS = 256
+
+
+def with_copies(rows: DataFrame, table: DataFrame, key: list[str], copies: str) -> DataFrame:
+    """Rows left-joined by columns without nulls with a staged table that says by ``copies`` how many rows each of its keys has.
+
+    The HOT_KEYS keys with most rows are broadcast, so no other key has more than 1 / HOT_KEYS of all rows; the rest is shuffled.
+    """
+    hot = F.broadcast(staged(table.orderBy(F.desc(copies), *key).limit(HOT_KEYS), "hot-keys"))
+    few = rows.join(hot.drop(copies), key)
+    rest = rows.join(hot.select(*key), key, "left_anti").join(table.drop(copies), key, "left")
+    return few.unionByName(rest.select(few.columns))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of an edge the smallest node reachable from it.
 

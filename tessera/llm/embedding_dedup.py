@@ -5,28 +5,31 @@ Unit vectors are projected on many random directions. Two vectors whose cosine i
 many of the directions collide is binomial. A pair is verified by its exact cosine if it collides on at least the count that a
 pair at the threshold misses with probability MISSED.
 
-The first projection sorts each label's vectors into slabs of about SLAB vectors. Two slabs meet if a window on that projection
-reaches from one to the other; each meeting is a task of bounded size, whatever the label's share of the rows. A task returns per
-vector how many links it found and one link to the smallest vector it is joined with, never its pairs. Equal vectors count as one
-until the end.
+The first projection sorts the vectors of each label over the cluster; SLAB neighbours at most are a slab. Two slabs meet if a
+window on that projection reaches from one to the other; each meeting is a task of bounded size, whatever the label's share of
+the rows. Within a meeting the sorted first projection enumerates each query's window neighbours, and the other projections are
+counted for those only, dropping a pair once it lies beyond REACH on one of them or can no longer come to the count. A task
+returns per vector how many links it found and one link to the smallest vector it is joined with, never its pairs. Equal vectors
+count as one until the end.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, staged
+from .common import components, read, staged, with_copies
 
 DIRECTIONS = 24
 MISSED = 1e-4
-SLAB = 1500
-SLABS = 20_000  # slabs at most; their bounds go to the driver and back
+REACH = 4.2  # standard deviations of a projected difference beyond which no pair is followed
+SLAB = 2000
+PAIRS = 2_000_000  # pairs followed at once
 
 
 def directions(dim: int) -> np.ndarray:
@@ -40,7 +43,7 @@ def directions(dim: int) -> np.ndarray:
 
 
 def window(dim: int, threshold: float) -> tuple[float, float, int]:
-    """(half width that counts as a collision, half width for the sorted slabs, least count)."""
+    """(half width that counts as a collision, half width beyond which no pair is followed, least count)."""
     distance = math.sqrt(max(0.0, 2 - 2 * threshold))
     if dim <= DIRECTIONS:  # few dimensions: no difference is longer than the distance, so nothing is missed
         return distance * (1 + 1e-9), distance * (1 + 1e-9), DIRECTIONS
@@ -52,7 +55,7 @@ def window(dim: int, threshold: float) -> tuple[float, float, int]:
         if tail > MISSED:
             break
         least = k + 1
-    return 2 * s, min(4.2 * s, distance * (1 + 1e-9)), least
+    return 2 * s, min(REACH * s, distance * (1 + 1e-9)), least
 
 
 def _vectors(batches):
@@ -105,20 +108,29 @@ def linked(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, vecs: list[byt
     """(links found per vector, smallest joined id) for the pairs of side 0 with side 1, or of all where all are on side 2."""
     unit = _unit(vecs)
     dim = unit.shape[1]
-    half, _, least = window(dim, threshold)
-    projected = unit @ directions(dim).T
-    one = np.flatnonzero(side != 1)
-    two = np.flatnonzero(side != 0)
+    half, reach, least = window(dim, threshold)
+    projected = np.ascontiguousarray((unit @ directions(dim).T).T)
+    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    two = two[np.argsort(projected[0, two], kind="stable")]
+    line = projected[0, two]
+    lo, hi = (np.searchsorted(line, projected[0, one] + x, side=y) for x, y in ((-reach, "left"), (reach, "right")))
+    upto = np.cumsum(hi - lo)
     found_a, found_b = [], []
-    for at in range(0, len(one), 256):
-        q = one[at : at + 256]
-        count = np.zeros((len(q), len(two)), np.uint8)
-        for j in range(DIRECTIONS):
-            count += np.abs(projected[q, j][:, None] - projected[two, j]) <= half
-        i, k = np.nonzero(count >= least)
-        a, b = q[i], two[k]
-        keep = a < b if side.max() == 2 else slice(None)
-        a, b = a[keep], b[keep]
+    at = 0
+    while at < len(one):  # queries whose windows hold about PAIRS vectors together
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        size = (hi - lo)[at:stop]
+        a = np.repeat(one[at:stop], size)
+        b = two[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[at:stop], size)]
+        at = stop
+        if side.max() == 2:
+            a, b = a[a < b], b[a < b]
+        count = (np.abs(projected[0, a] - projected[0, b]) <= half).astype(np.uint8)
+        for j in range(1, DIRECTIONS):
+            apart = np.abs(projected[j, a] - projected[j, b])
+            count += apart <= half
+            go = (apart <= reach) & (count + (DIRECTIONS - 1 - j) >= least)
+            a, b, count = a[go], b[go], count[go]
         for part in range(0, len(a), 100_000):
             x, y = a[part : part + 100_000], b[part : part + 100_000]
             near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
@@ -133,6 +145,19 @@ def linked(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, vecs: list[byt
     return links.astype(np.int64), ids[order][root[rank]]
 
 
+def _slabs(batches):
+    """Numbers runs of up to SLAB rows of one label and dimension, in partitions sorted by them and the projection."""
+    part, slab, held, last = TaskContext.get().partitionId(), -1, 0, None
+    for batch in batches:
+        out = np.empty(batch.num_rows, np.int64)
+        for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            if group != last or held == SLAB:
+                slab, held, last = slab + 1, 0, group
+            held += 1
+            out[i] = (part << 32) + slab
+        yield pa.record_batch([*batch.columns, pa.array(out)], [*batch.schema.names, "slab"])
+
+
 def _meet(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
@@ -156,34 +181,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = made.where("id is not null and label is not null and vec is not null").distinct()
     same = staged(usable.groupBy("label", "dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("label", "rep", "dim", "vec", "copies"), "vector-classes")
     placed = staged(same.mapInArrow(_first, f"label {kind}, rep long, dim int, vec binary, copies long, p double"), "projected")
-    sizes = placed.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "label", "dim").first()
-    if top is None:
-        return made.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    slabs = min(SLABS, max(1, -(-top.n // SLAB)))
-    # the slabs of all labels have the bounds of the largest one's quantiles: fixed in number, so small to send
-    mine = placed.where((F.col("label") == F.lit(top.label)) & (F.col("dim") == top.dim))
-    bounds = mine.approxQuantile("p", [i / slabs for i in range(1, slabs)], min(0.1, 0.2 / slabs)) if slabs > 1 else []
-    bounds = sorted(set(bounds))
-    reach = window(placed.agg(F.min("dim")).first()[0], threshold)[1]  # the fewer dimensions, the wider
-    places = F.array(*(F.lit(float(b)) for b in bounds)) if bounds else F.expr("cast(array() as array<double>)")
-    slab = F.size(F.filter(places, lambda b: b <= F.col("p"))) if bounds else F.lit(0)
-    placed = placed.withColumn("slab", slab)
-    # slab i meets slab k >= i if k starts within reach of i's end
-    last = [max(i, bisect.bisect_right(bounds, bounds[i] + reach)) for i in range(len(bounds))] + [len(bounds)]
-    first = [bisect.bisect_left(last, k) for k in range(len(last))]
-    spans = placed.sparkSession.createDataFrame([(k, first[k], last[k]) for k in range(len(last))], "slab int, first int, last int")
-    placed = placed.join(F.broadcast(spans), "slab")  # at most SLABS rows
-    own = placed.withColumn("two", F.explode(F.sequence("slab", "last"))).withColumns({"one": F.col("slab"), "side": F.when(F.col("two") == F.col("slab"), 2).otherwise(0)})
-    other = placed.where("first < slab").withColumn("one", F.explode(F.sequence("first", F.col("slab") - 1))).withColumns({"two": F.col("slab"), "side": F.lit(1)})
+    # sorted over the cluster: a hot label takes as many partitions and slabs as it has rows for
+    ranged = placed.repartitionByRange("label", "dim", "p").sortWithinPartitions("label", "dim", "p")
+    slabs = staged(ranged.mapInArrow(_slabs, f"label {kind}, rep long, dim int, vec binary, copies long, p double, slab long"), "slabs")
+    far = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
+    reach = F.when(F.col("dim") <= DIRECTIONS, far).otherwise(F.least(REACH * far / F.sqrt("dim"), F.lit(far)))  # not less than window()'s
+    ends = staged(slabs.groupBy("label", "dim", "slab").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).withColumn("reach", reach), "slab-ends")
+    later = ends.select("label", "dim", F.col("slab").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = ends.withColumnRenamed("slab", "one").join(later, ["label", "dim"]).where((F.col("one") <= F.col("two")) & (F.col("lo2") <= F.col("hi") + F.col("reach")) & (F.col("hi2") >= F.col("lo") - F.col("reach")))
+    met = staged(met.select("one", "two"), "meeting-slabs")
     columns = ["label", "dim", "one", "two", "side", "rep", "copies", "vec"]
-    met = own.select(columns).unionByName(other.select(columns))
-    found = staged(met.groupBy("label", "dim", "one", "two").applyInArrow(_meet(threshold), "rep long, links long, low long"), "meetings")
+    own = slabs.withColumnRenamed("slab", "one").join(met, "one").withColumn("side", F.when(F.col("one") == F.col("two"), 2).otherwise(0))
+    other = slabs.withColumnRenamed("slab", "two").join(met.where("one <> two"), "two").withColumn("side", F.lit(1))
+    both = own.select(columns).unionByName(other.select(columns))
+    found = staged(both.groupBy("label", "dim", "one", "two").applyInArrow(_meet(threshold), "rep long, links long, low long"), "meetings")
     joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     of_rep = joined.select(F.col("node").alias("rep"), "component")
     # a vector's links: those of its class, and the other copies in it; classes that share an id are one node of the graph
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    member = usable.join(same.select("label", "dim", "vec", "rep", "copies"), ["label", "dim", "vec"]).select("id", "rep", "copies")
+    member = with_copies(usable, same.withColumn("rows", F.col("copies")), ["label", "dim", "vec"], "rows").select("id", "rep", "copies")
     member = member.join(links, "rep", "left").join(of_rep, "rep", "left")
     node = member.groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component"))
     out = made.select("id").join(node, "id", "left")

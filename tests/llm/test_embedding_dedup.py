@@ -50,9 +50,19 @@ def test_recall_of_pairs_at_the_threshold():
     b = 0.9801 * a + np.sqrt(1 - 0.9801**2) * d
     half, reach, least = ed.window(64, 0.98)
     p, q = a @ ed.directions(64).T, b @ ed.directions(64).T
-    found = ((np.abs(p - q) <= half).sum(axis=1) >= least) & (np.abs(p - q)[:, 0] <= reach)
+    found = ((np.abs(p - q) <= half).sum(axis=1) >= least) & (np.abs(p - q) <= reach).all(axis=1)
     assert found.mean() > 0.998
 
 
 def test_empty(spark):
     assert ed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_hot_label_beside_others_and_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(ed, "SLAB", 50)
+    rng = np.random.default_rng(3)
+    far = rng.standard_normal((200, 64)) + 5 * np.eye(64)[0]  # a label that lies elsewhere
+    rows = [(i, v.tolist(), int(i % 9 == 0)) for i, v in enumerate(np.concatenate((rng.standard_normal((100, 64)), far, far[:30] + 1e-3)))]
+    rows += [(1000 + i, far[7].tolist(), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((tuple(r) for r in ed.near_duplicates(df).collect()), key=str) == brute(rows)
