@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, sliced, staged, text_key
+from .common import dropped, read, sliced, staged, text_key, with_copies
 from .ngram_join import word_ids
 
 LENGTH, CELL = 400, 8
@@ -97,7 +97,10 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, gram name, name of all windows) for runs of windows with one anchor; no window crosses an end."""
+    """(first window, last window, anchor, gram name, name of all windows, last window of equal runs, equal runs) for runs of windows with one anchor.
+
+    No window crosses an end. Runs that follow each other and are equal, as in a text of one repeated byte, come once.
+    """
     hashes = _Hashes(buf)
     h = hashes.grams(0, gram)
     low = np.uint64((1 << 20) - 1)
@@ -108,7 +111,11 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     first = np.flatnonzero(new & ok)  # within a document valid windows come first, so its runs start valid
     stop = np.flatnonzero(ok & np.concatenate((new[1:] | ~ok[1:], [True])))
     at = (least[first] & low).astype(np.int64)
-    return first, stop, at, h[at], hashes.of(1, first, stop + length)
+    g, u = h[at], hashes.of(1, first, stop + length)
+    same = (g[1:] == g[:-1]) & (u[1:] == u[:-1]) & (first[1:] == stop[:-1] + 1) & (stop[1:] - first[1:] == stop[:-1] - first[:-1])
+    head = np.flatnonzero(np.concatenate(([True], ~same))) if len(g) else np.empty(0, np.int64)
+    tail = np.concatenate((head[1:], [len(g)]))[: len(head)] - 1
+    return first[head], stop[head], at[head], g[head], u[head], stop[tail], tail - head + 1
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -119,10 +126,10 @@ def _words(text: str | None) -> np.ndarray:
     return word_ids((text or "").encode("utf-8", "surrogatepass").split())
 
 
-def _pieces(keys, texts, length: int, symbols):
-    """Parts of about PIECE symbols together: (key, offset of the part in its text, symbols). Longer texts go in parts that overlap by length - 1."""
+def _pieces(keys, texts, copies, length: int, symbols):
+    """Parts of about PIECE symbols together: (key, copies, offset of the part in its text, symbols). Longer texts go in parts that overlap by length - 1."""
     parts, held = [], 0
-    for key, text in zip(keys, texts):
+    for key, text, n in zip(keys, texts, copies):
         data = symbols(text)
         if len(data) < length:
             continue
@@ -131,26 +138,26 @@ def _pieces(keys, texts, length: int, symbols):
             if held + len(part) > PIECE and parts:
                 yield parts
                 parts, held = [], 0
-            parts.append((key, at, part))
+            parts.append((key, n, at, part))
             held += len(part)
     if parts:
         yield parts
 
 
-ANCHOR = "key binary, s long, e long, p long, h long, u long"
+ANCHOR = "key binary, s long, e long, p long, h long, u long, l long, n long"
 
 
 def _anchor_rows(length: int, gram: int, symbols):
     def run(batches):
         for batch in sliced(batches):
-            for parts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, symbols):
-                ends = np.cumsum([len(x) for _, _, x in parts])
-                s, e, p, h, u = anchors(np.concatenate([x for _, _, x in parts]), ends, length, gram)
+            for parts in _pieces(*(batch.column(i).to_pylist() for i in range(3)), length, symbols):
+                ends = np.cumsum([len(x) for *_, x in parts])
+                s, e, p, h, u, l, n = anchors(np.concatenate([x for *_, x in parts]), ends, length, gram)
                 doc = np.searchsorted(ends, s, side="right")
-                base = np.array([at for _, at, _ in parts]) - np.concatenate(([0], ends[:-1]))
-                move = base[doc]
-                keys = pa.array([k for k, _, _ in parts], pa.binary()).take(pa.array(doc))
-                yield pa.record_batch([keys, *(pa.array(x + move) for x in (s, e, p)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64))], ["key", "s", "e", "p", "h", "u"])
+                move = (np.array([at for _, _, at, _ in parts]) - np.concatenate(([0], ends[:-1])))[doc]
+                n = n * np.array([c for _, c, _, _ in parts])[doc]
+                keys = pa.array([k for k, *_ in parts], pa.binary()).take(pa.array(doc))
+                yield pa.record_batch([keys, *(pa.array(x + move) for x in (s, e, p)), *(pa.array(x.view(np.int64)) for x in (h, u)), pa.array(l + move), pa.array(n)], ["key", "s", "e", "p", "h", "u", "l", "n"])
 
     return run
 
@@ -272,24 +279,25 @@ def _leaf_rows(batches):
         yield from flush(rows)
 
 
-def _named(base: DataFrame, length: int, gram: int, symbols) -> tuple[DataFrame, DataFrame]:
-    """From texts (key, text): runs (key, first, last) of windows that repeat as a whole, and texts (key, runs) with the runs that are open."""
-    anchor = staged(base.mapInArrow(_anchor_rows(length, gram, symbols), ANCHOR), "anchors")
+def _named(texts: DataFrame, length: int, gram: int, symbols) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From texts (key, text, copies): runs (key, first, last) of windows that repeat as a whole, (key, runs) with the runs that are open, and the staged table that both read."""
+    anchor = staged(texts.select("key", "text", "copies").mapInArrow(_anchor_rows(length, gram, symbols), ANCHOR), "anchors")
     # both sides of this join are plain shuffles, and what follows has keys of its own: a hot gram's rows can be split
-    name = staged(anchor.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "names")
+    name = staged(anchor.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "names")
     named = staged(anchor.join(name, "h", "left_semi"), "named")
-    some = staged(named.groupBy("h", "u", "key", "s", "e", "p").agg(F.count("*").alias("n")), "placed")
-    twice = some.groupBy("h", "u").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s", "e", "p")).alias("one"))
+    dropped(anchor)
+    twice = named.groupBy("h", "u").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s", "e", "p")).alias("one"))
     twice = staged(twice, "classes")
-    whole = some.join(twice.where("n > 1").select("h", "u"), ["h", "u"], "left_semi").select("key", F.col("s").alias("first"), F.col("e").alias("last"))
+    whole = named.join(twice.where("n > 1").select("h", "u"), ["h", "u"], "left_semi").select("key", F.col("s").alias("first"), F.col("l").alias("last"))
     open_ = twice.where("n = 1")
     apart = twice.join(open_.groupBy("h").agg(F.lit(1).alias("x")), "h", "left_semi")
-    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs"))
+    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), named
 
 
-def _texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """(key, text) of texts of that many bytes at least."""
-    return docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= least)
+def distinct_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
+    """(key, text, copies), a row per distinct text of that many bytes at least: nothing after it meets the copies of a text."""
+    rows = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= least)
+    return staged(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
 
 
 def _window_rows(length: int):
@@ -310,25 +318,26 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> DataFrame:
+def repeated_passages(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(key, passages): as ``repeated_spans``, of strings of that many words; starts are counted in words."""
-    base = _texts(docs, text_col, 2 * words - 1)
-    whole, runs = _named(base, words, max(1, words // 2), _words)
-    window = base.join(runs, "key").dropDuplicates(["key"]).select("key", "text", "runs").mapInArrow(_window_rows(words), "key binary, first long, own boolean, w1 long, w2 long")
+    whole, runs, named = _named(texts.where(F.octet_length("text") >= 2 * words - 1), words, max(1, words // 2), _words)
+    window = texts.join(runs, "key").select("key", "text", "runs").mapInArrow(_window_rows(words), "key binary, first long, own boolean, w1 long, w2 long")
     window = staged(window, "windows")
     again = staged(window.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
     single = window.where("own").join(again, ["w1", "w2"], "left_semi").select("key", "first", F.col("first").alias("last"))
-    return staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("passages")), "passages")
+    found = staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("passages")), "passages")
+    for done in (window, again, named):
+        dropped(done)
+    return found
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """(key, windows): for each text (by ``text_key``) with repeats, the runs (first, last) of starts of repeated strings."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """(key, windows): for each text of ``distinct_texts`` with repeats, the runs (first, last) of starts of repeated strings."""
     gram = gram or length // 2
     if not 0 < gram < length - CELL:
         raise ValueError("a gram must be shorter than a cell's core")
-    base = _texts(docs, text_col, length)
-    whole, runs = _named(base, length, gram, _bytes)
-    cells = staged(base.join(runs, "key").dropDuplicates(["key"]).select("key", "text", "runs").mapInArrow(_cell_rows(length), CELLS), "cells")
+    whole, runs, named = _named(texts.where(F.octet_length("text") >= length), length, gram, _bytes)
+    cells = staged(texts.join(runs, "key").select("key", "text", "runs").mapInArrow(_cell_rows(length), CELLS), "cells")
     core = staged(cells.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1"), "cores")
     cold = cells.join(core.where(F.col("n") <= HOT).select("c1", "c2"), ["c1", "c2"], "left_semi").select(*cells.columns)
     leaf = cold.repartition("c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(_leaf_rows, "key binary, at long, mask long")
@@ -338,7 +347,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     again = hot.groupBy("c1", "c2", "r", "bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hot = hot.where("own").join(again, ["c1", "c2", "r", "bytes"], "left_semi").select("key", "at", "r")
     single = bits.unionByName(hot).select("key", (F.col("at") - F.col("r")).alias("first"), (F.col("at") - F.col("r")).alias("last"))
-    return staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "spans")
+    found = staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "spans")
+    for done in (cells, core, named):
+        dropped(done)
+    return found
 
 
 def merged(windows, length: int) -> list[tuple[int, int]]:
@@ -360,29 +372,54 @@ def _kept(data: bytes, ranges) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def _digests(length: int):
+DIGESTS = "key binary, copies long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
+
+
+def _digests(length: int, words: int):
     def run(batches):
         for batch in sliced(batches):
             cols, out = batch.to_pydict(), []
-            for i, text, windows in zip(cols["id"], cols["text"], cols["windows"]):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for key, copies, text, windows, passages in zip(*(cols[c] for c in ("key", "copies", "text", "windows", "passages"))):
                 ranges = merged(windows, length)
-                out.append((i, len(data), sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(_kept(data, ranges)).hexdigest()))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                digest = hashlib.sha256(_kept(text.encode("utf-8", "surrogatepass"), ranges)).hexdigest()
+                out.append((key, copies, sum(b - a for a, b in ranges), len(ranges), digest, len(merged(passages, words))))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], ["key", "copies", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
     return run
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _repeats(texts: DataFrame, length: int, words: int | None) -> DataFrame:
+    """(key, windows, passages) of the texts that have any; passages are null where ``words`` is."""
+    spans = repeated_spans(texts, length)
+    if words is None:
+        return spans.withColumn("passages", F.lit(None).cast("array<struct<first: long, last: long>>"))
+    return spans.join(repeated_passages(texts, words), "key", "full")
+
+
+def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = WORDS) -> DataFrame:
     """One row per document: byte counts and the SHA-256 of what stays when all repeated strings of ``length`` bytes go.
 
+    ``n_passages`` counts the maximal runs of words that lie in passages of ``words`` words which also start anywhere else, and
+    ``repeats`` says whether the text has any repeat of either kind; passages are reported here, not removed.
     Null texts count as empty; texts shorter than the length have no repeats; a row that occurs twice is a repeat of itself.
     Ids are only carried along, so nulls and repeats among them are kept. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, text_col, length)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return base.join(spans, "key", "left").select("id", "text", "windows").mapInArrow(_digests(length), schema).withColumnRenamed("doc_id", id_col)
+    texts = distinct_texts(docs, text_col, min(length, 2 * words - 1))
+    found = texts.join(_repeats(texts, length, words), "key").select("key", "copies", "text", "windows", "passages").mapInArrow(_digests(length, words), DIGESTS)
+    found = staged(found, "digests")
+    data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
+    joined = with_copies(staged(base, "rows"), found, ["key"], "copies")
+    return joined.select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("n_passages", F.lit(0)).alias("n_passages"),
+        (F.coalesce("n_removed", F.lit(0)) + F.coalesce("n_passages", F.lit(0)) > 0).alias("repeats"),
+    )
 
 
 SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -396,8 +433,6 @@ def _byte_ranges(data: bytes, ranges) -> list[tuple[int, int]]:
 
 def _cut(length: int, words: int):
     def cut(text, windows, passages):
-        if text is None or (windows is None and passages is None):
-            return text
         data = text.encode("utf-8", "surrogatepass")
         ranges = merged(windows, length)
         if passages is not None:
@@ -412,10 +447,8 @@ def _cut(length: int, words: int):
 
     def run(batches):
         for batch in sliced(batches):
-            at, n = batch.schema.get_field_index("text"), batch.num_columns - 2
-            texts = list(map(cut, *(batch.column(i).to_pylist() for i in (at, n, n + 1))))
-            cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(n)]
-            yield pa.record_batch(cols, batch.schema.names[:n])
+            texts = list(map(cut, *(batch.column(i).to_pylist() for i in (1, 2, 3))))
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["_key", "_cut"])
 
     return run
 
@@ -424,15 +457,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = N
     """The documents with repeated bytes cut out of ``text`` (a character of which a part is cut goes with it); all rows stay, other columns are untouched.
 
     Where ``words`` is given, passages of that many words that repeat go as well, however few bytes they have.
+    Columns named ``_key`` or ``_cut`` are kept as any other.
     """
-    spans = repeated_spans(docs, "text", length)
-    if words is None:
-        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<first: long, last: long>>"))
-    else:
-        spans = spans.join(repeated_passages(docs, "text", words), "key", "full")
-    spans = spans.select(F.col("key").alias("_key"), F.col("windows").alias("_windows"), F.col("passages").alias("_passages"))
-    joined = docs.withColumn("_key", text_key()).join(spans, "_key", "left").drop("_key")
-    return joined.mapInArrow(_cut(length, words or WORDS), docs.schema)
+    texts = distinct_texts(docs, "text", length if words is None else min(length, 2 * words - 1))
+    found = texts.join(_repeats(texts, length, words), "key").select("key", "text", "windows", "passages").mapInArrow(_cut(length, words or WORDS), "_key binary, _cut string")
+    found = staged(found, "cut-texts")  # a plain side, so that the rows of a hot text can be split
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), text_key().alias("_key"))
+    joined = whole.join(found, "_key", "left")
+    return joined.select(*(F.coalesce("_cut", "_doc.text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

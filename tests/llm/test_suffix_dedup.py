@@ -50,7 +50,7 @@ def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT", hot)
     rows = [(i, t, "clash") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
-    spans = sd.repeated_spans(docs, "text", 100, 50)
+    spans = sd.repeated_spans(sd.distinct_texts(docs, "text", 100), 100, 50)
     by_key = {bytes(r.key): sd.merged(r.windows, 100) for r in spans.collect()}
     want = brute([t for _, t, _ in rows], 100)
     for (i, t, _), (n, gone, runs, digest) in zip(rows, want):
@@ -65,7 +65,25 @@ def test_long_text_in_parts(spark, monkeypatch):
     a = "".join(rng.choice("abcdefgh") for _ in range(5000))
     docs = [a + "x" + a[100:3000], a[2000:4000], "q" * 2000]
     got = sd.removal_digests(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute(docs, 400)
+    assert [tuple(r)[1:5] for r in got] == brute(docs, 400)
+
+
+def test_equal_runs_come_once():
+    buf = np.frombuffer(b"q" * 3000 + b"ab" * 1500, np.uint8)
+    s, e, p, h, u, l, n = sd.anchors(buf, np.array([3000, 6000]), 400, 200)
+    assert len(s) < 10 and n.sum() > 2600 and (l >= e).all()
+
+
+def test_hot_text_and_passages(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    short, hot = prose(55), prose(300)
+    docs = [prose(90), f"{prose(60)} {short} {prose(60)}", f"{prose(40)} {short}", *[hot] * 400, "", None, prose(20)]
+    assert len(short) < 400
+    got = sd.removal_digests(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute(docs, 400)
+    assert [r.repeats for r in got] == [False, True, True, *[True] * 400, False, False, False]
+    assert [r.n_passages for r in got] == [0, 1, 1, *[1] * 400, 0, 0, 0]
 
 
 def test_empty_and_null_ids(spark):
@@ -77,7 +95,7 @@ def test_empty_and_null_ids(spark):
 
 def test_without_repeats_keeps_columns(spark):
     t = "".join(random.Random(3).choice("abcdefgh") for _ in range(500))
-    docs = spark.createDataFrame([(1, t, "u"), (2, "v" + t + "w", "u"), (3, None, None)], "doc_id long, text string, windows string")
+    docs = spark.createDataFrame([(1, t, "u"), (2, "v" + t + "w", "u"), (3, None, None)], "doc_id long, text string, _key string")
     out = sd.without_repeats(docs).orderBy("doc_id").collect()
     assert [tuple(r) for r in out] == [(1, "", "u"), (2, "vw", "u"), (3, None, None)]
 
