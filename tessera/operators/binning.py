@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +30,25 @@ def hybrid_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
 def headtail_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
     """Means of what lies above the mean before, until 5 % of the values or fewer are left, then everything above.
 
-    Each step is an aggregation of one row that the next one's filter uses; none is run by itself.
+    Each step is one aggregation that runs at once and gives a single mean to the driver: as a plan of its own, each step would hold
+    the steps before twice. Where that gives fewer bounds
+    than ``bins``, they are the distinct quantiles of the bulk (up to the 90th percentile) in ``bins`` - 1 parts, then everything above.
     """
     known = _known(df, x)
-    whole = known.agg(F.count("*").alias("whole"))
-    steps: list[DataFrame] = []
-    left = known
-    for i in range(bins):
-        mean = left.agg(F.avg("x").alias("m"), F.count("*").alias("k")).crossJoin(F.broadcast(whole))
-        # the first mean always counts; a later one only if more than 5 % lie above the mean before
-        steps.append(mean.select(F.lit(i).alias("i"), F.when((F.col("k") > 0.05 * F.col("whole")) | F.lit(i == 0), F.col("m")).alias("m")))
-        cut = steps[-1].select(F.col("m").alias("cut"))
-        left = left.crossJoin(F.broadcast(cut)).where("x > cut").select("x")
-    all_ = reduce(DataFrame.unionByName, steps)
-    return all_.agg(F.array_sort(F.collect_set("m")).alias("b")).select(F.concat("b", F.array(F.lit(INF))).alias("breaks"))
+    left, found, whole = known, [], 0
+    while len(found) < bins:
+        step = left.agg(F.avg("x").alias("m"), F.count("*").alias("k")).first()
+        whole = whole or step.k
+        if step.k <= 0.05 * whole:  # nothing at all, or few enough
+            break
+        found.append(step.m)
+        left = known.where(F.col("x") > step.m)
+    found = [*sorted(set(found)), INF]
+    if len(found) >= bins or len(found) == 1:
+        return df.sparkSession.range(1).select(F.array(*map(F.lit, found)).alias("breaks"))
+    top = known.agg(F.percentile("x", 0.9).alias("q"))
+    bulk = known.crossJoin(F.broadcast(top)).where("x <= q")
+    return bulk.agg(F.percentile("x", [i / (bins - 1) for i in range(1, bins)]).alias("b")).select(F.array_distinct(F.concat("b", F.array(F.lit(INF)))).alias("breaks"))
 
 
 def shape(df: DataFrame, x: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,11 +73,24 @@ def coverage(matched: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def apply_decisions(df: DataFrame, decisions: DataFrame, levels: list[str]) -> DataFrame:
-    """Replaces names level by level by a table (level, name_to_match, replacement), after cleaning both sides; names without a decision stay."""
+    """Replaces names level by level by a table (level, name_to_match, replacement), after cleaning both sides; names without a decision stay.
+
+    Where the table has columns of upper levels as well, a decision holds under its parents only, which are compared with the parents
+    as corrected so far; a null parent stands for any. The decision with more parents wins, then the smaller replacement.
+    """
     out = df
-    for level in levels:
-        d = decisions.where(F.col("level") == level).select(clean_name("name_to_match").alias("_name"), clean_name("replacement").alias("_to")).dropDuplicates(["_name"])
-        out = out.withColumn(level, clean_name(level)).join(d, F.col(level) == F.col("_name"), "left").withColumn(level, F.coalesce("_to", level)).drop("_name", "_to")
+    for i, level in enumerate(levels):
+        parents = [p for p in levels[:i] if p in decisions.columns]
+        named = decisions.where(F.col("level") == level).select(clean_name("name_to_match").alias("_name"), clean_name("replacement").alias("_to"), *(clean_name(p).alias(f"_{p}") for p in parents))
+        out = out.withColumn(level, clean_name(level))
+        for known in sorted(product((True, False), repeat=len(parents)), key=sum, reverse=True):  # which parents a decision names
+            some = named.where(reduce(lambda a, b: a & b, (F.col(f"_{p}").isNotNull() == k for p, k in zip(parents, known)), F.lit(True)))
+            by = [p for p, k in zip(parents, known) if k]
+            some = some.groupBy("_name", *(f"_{p}" for p in by)).agg(F.min("_to").alias("_to"))
+            on = reduce(lambda a, b: a & b, (F.col(p) == F.col(f"_{p}") for p in by), F.col(level) == F.col("_name"))
+            found = F.coalesce("_found", "_to") if "_found" in out.columns else F.col("_to")
+            out = out.join(some, on, "left").withColumn("_found", found).drop("_name", "_to", *(f"_{p}" for p in by))
+        out = out.withColumn(level, F.coalesce("_found", level)).drop("_found")
     return out
 
 

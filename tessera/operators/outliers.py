@@ -17,6 +17,8 @@ PRESETS = {
 }
 MAD_CONSTANT = 1.4826
 METHODS = ("mean", "median", "iqr")
+STATISTICS = ("n", "mean", "sd", "median", "q1", "q3", "mad", "iqr")
+ADDED = frozenset((*STATISTICS, *(f"{m}_{x}" for m in METHODS for x in ("upper", "lower", "unstable")), *(f"flag_{m}" for m in METHODS), "flag_consensus", "reason", "strength"))
 TIME_KEYS = {"across_time": [], "within_year": ["year"], "seasonal": ["month"]}
 
 
@@ -64,16 +66,24 @@ def detect_outliers(df: DataFrame, value: str, groups: list[str], rule: OutlierR
 
     A guard (low reporting, then too few values) decides first; then an unstable spread; then missing evidence; then the upper
     bound. Low values are never flagged. Rows without any key indicator are dropped before, where indicators are named.
+    ``strength`` is the part of the usable methods that call the value an outlier, null without any. Columns of the input that have
+    the name of a column added here end in ``_input``; a key must not have one.
     """
     keys = [*groups, *TIME_KEYS[rule.time_mode]]
     require(df, [value, *keys])
+    if both := ADDED.intersection(keys):
+        raise ValueError(f"keys with names of statistics: {', '.join(sorted(both))}")
+    names = {c: f"{c}_input" for c in df.columns if c in ADDED}
+    df, value = df.withColumnsRenamed(names), names.get(value, value)
+    low_rate = names.get(rule.reporting_rate, rule.reporting_rate)
+    key_indicators = [names.get(c, c) for c in key_indicators or ()]
     if key_indicators:
         df = df.where(F.coalesce(*(F.col(c).cast("string") for c in key_indicators)).isNotNull())
     df = df.withColumn("_value", F.col(value).cast("double"))
     rows = null_safe_join(df, group_statistics(df, "_value", keys, rule), keys).withColumn("n", F.coalesce("n", F.lit(0)))
     guard = F.when(F.lit(False), F.lit(None).cast("string"))
     if rule.reporting_rate:
-        guard = guard.when(F.col(rule.reporting_rate) < rule.reporting_rate_min, "low_reporting")
+        guard = guard.when(F.col(low_rate) < rule.reporting_rate_min, "low_reporting")
     rows = rows.withColumn("guard", guard.when(F.col("n") < rule.min_n, "insufficient_n"))
 
     def flag(m: str) -> Column:
@@ -84,7 +94,8 @@ def detect_outliers(df: DataFrame, value: str, groups: list[str], rule: OutlierR
     usable = sum((F.when(F.col(f"flag_{m}") != "unstable_scale", 1).otherwise(0) for m in METHODS), F.lit(0))
     votes = sum((F.when(F.col(f"flag_{m}") == "outlier", 1).otherwise(0) for m in METHODS), F.lit(0))
     consensus = F.coalesce("guard", F.when(usable == 0, "insufficient_evidence").when(votes >= rule.consensus, "outlier").otherwise("normal"))
-    return rows.withColumns({"reason": consensus, "flag_consensus": simplified(consensus), **{f"flag_{m}": simplified(F.col(f"flag_{m}")) for m in METHODS}}).drop("_value", "guard")
+    strength = F.when(F.col("guard").isNull() & (usable > 0), votes / usable)
+    return rows.withColumns({"reason": consensus, "strength": strength, "flag_consensus": simplified(consensus), **{f"flag_{m}": simplified(F.col(f"flag_{m}")) for m in METHODS}}).drop("_value", "guard")
 
 
 def simplified(flag: Column) -> Column:

@@ -8,6 +8,7 @@ from ..operators import binning as bi
 from ..operators import filenames as fi
 from ..operators import population as po
 from ..operators import zonal as zo
+from ..sources import views as vi
 from .tables import table, view
 
 POP = """SELECT r_name AS adm1, n_name AS adm2, {year} AS year, CAST(CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS DOUBLE) AS pop, count(*) AS births FROM {orders} JOIN {customer} ON o_custkey = c_custkey
@@ -76,7 +77,12 @@ def _values(x: str, name: str) -> str:
     return f"k AS (SELECT CAST({x} AS DOUBLE) AS x FROM {name} WHERE {x} <> 0)"
 
 
-HEAD = [f"h{i} AS (SELECT avg(x) AS m, count(*) AS k FROM k" + (f" WHERE x > (SELECT m FROM g{i - 1})" if i else "") + f"), g{i} AS (SELECT CASE WHEN k > 0.05 * (SELECT count(*) FROM k) OR {i} = 0 THEN m END AS m FROM h{i})" for i in range(5)]
+def _head(bins: int) -> list[str]:
+    return [f"h{i} AS (SELECT avg(x) AS m, count(*) AS k FROM k" + (f" WHERE x > (SELECT m FROM g{i - 1})" if i else "") + f"), g{i} AS (SELECT CASE WHEN k > 0.05 * (SELECT count(*) FROM k) OR {i} = 0 THEN m END AS m FROM h{i})" for i in range(bins)]
+
+
+HEAD = _head(5)
+CATALOGUED = ("customer", "nation", "orders")
 YEARS = [2000, 2001, 2002]
 #: File names of months and years, all with two numbers in common.
 FILES = """SELECT CASE kind WHEN 1 THEN 'maps/rate_250_' || m || '-' || y || '.007.tif' WHEN 2 THEN 'rate_250_' || y || '-' || m || '.007.tif' WHEN 3 THEN 'rate_250_' || y || m || '.007.tif' ELSE 'rate_250_' || y || '.007.tif' END AS name, d, kind
@@ -111,7 +117,8 @@ QUERIES = {
     "coord_flags": lambda s, d: zo.coordinate_flags(coords(s, d), "lon", "lat", BOX).select("id", "coord_flag"),
     "coord_duplicates": lambda s, d: zo.coordinate_duplicates(coords(s, d), "lon", "lat").select("id", "n_same"),
     "point_in_polygon": lambda s, d: zo.points_in_zones(view(s, d, POINTS.format("{customer}"), "customer"), rings(s, d), "x", "y").select("id", "zone"),
-    "view_catalogue": lambda s, d: table(s, d, "orders").agg(F.count("*").alias("n_rows")).select(F.lit("orders").alias("view"), "n_rows", F.lit(6).cast("long").alias("n_columns")),
+    "view_catalogue": lambda s, d: vi.describe(s, vi.register_views(s, d, [f"{n}.parquet" for n in CATALOGUED])).drop("keys"),
+    "bins_headtail_fallback": _bins(lambda df: bi.headtail_breaks(df, "l_quantity", 8), "l_quantity", "lineitem"),
 }
 LM = f"f AS (SELECT adm2, regr_slope(pop, year) AS b, regr_intercept(pop, year) AS a FROM p WHERE year <= 1999 GROUP BY adm2), lm AS (SELECT adm2, CAST(y AS INTEGER) AS year, greatest(a + b * y, 0) AS pop FROM f, unnest({YEARS}) t(y))"
 CONST = f"co AS (SELECT adm2, year, pop FROM p WHERE year <= 1999 UNION ALL SELECT adm2, CAST(y AS INTEGER), arg_max(pop, year) FROM p, unnest({YEARS}) t(y) WHERE year <= 1999 GROUP BY adm2, y)"
@@ -150,5 +157,11 @@ k AS (SELECT *, count(*) OVER (PARTITION BY old) AS n_new, sum(p) OVER (PARTITIO
     "coord_flags": f"""WITH {CO} SELECT id, CASE WHEN lon IS NULL OR lat IS NULL THEN 'missing' WHEN lon = 0 AND lat = 0 THEN 'zero' WHEN lon BETWEEN 0 AND 60 AND lat BETWEEN 0 AND 30 THEN 'ok' WHEN lat BETWEEN 0 AND 60 AND lon BETWEEN 0 AND 30 THEN 'flipped' WHEN abs(lon) > 180 OR abs(lat) > 90 THEN 'out_of_range' ELSE 'outside' END AS coord_flag FROM co""",
     "coord_duplicates": f"WITH {CO}, n AS (SELECT id, count(*) OVER (PARTITION BY round_even(lon, 2), round_even(lat, 2)) AS n_same FROM co WHERE lon IS NOT NULL AND lat IS NOT NULL) SELECT * FROM n WHERE n_same > 1",
     "point_in_polygon": f"WITH p AS ({POINTS.format('customer')}) SELECT id, r_name AS zone FROM p JOIN region ON x > r_regionkey * 2 AND x < r_regionkey * 2 + 2 AND (y < 4 OR y < 6 - 2 * abs(x - r_regionkey * 2 - 1))",
-    "view_catalogue": "SELECT 'orders' AS view, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns FROM orders",
+    "view_catalogue": " UNION ALL ".join(f"SELECT '{n}' AS view, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE {n})) + 1 AS n_columns FROM {n}" for n in CATALOGUED),  # and the file name
+    "bins_headtail_fallback": _bins_sql(
+        f"{_values('l_quantity', 'lineitem')}, {', '.join(_head(8))}, ht AS (SELECT list_append(list(m) FILTER (m IS NOT NULL), 'inf'::DOUBLE) AS b FROM ({' UNION ALL '.join(f'SELECT m FROM g{i}' for i in range(8))})), "
+        f"bu AS (SELECT list_append(quantile_cont(x, {[i / 7 for i in range(1, 8)]}), 'inf'::DOUBLE) AS b FROM k WHERE x <= (SELECT quantile_cont(x, 0.9::DOUBLE) FROM k)), br AS (SELECT CASE WHEN len(list_distinct(ht.b)) < 8 THEN bu.b ELSE ht.b END AS b FROM ht, bu)",
+        "l_quantity",
+        "lineitem",
+    ),
 }

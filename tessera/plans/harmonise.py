@@ -10,7 +10,7 @@ from ..operators import typing as ty
 from .tables import table, view
 
 # names made untidy by rule
-NAMES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || '  IV' WHEN 1 THEN '  ' || replace(p_name, ' ', ' - ') || ' ii' WHEN 2 THEN 'Kpalimé CHP ' || p_name
+NAMES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || '  IV' WHEN 1 THEN '  ' || replace(p_name, ' ', ' - ') || ' ii' WHEN 2 THEN 'Zanfé PMI ' || p_name
  WHEN 3 THEN p_name || '’s 12 VIII' ELSE p_name END AS name FROM {0}"""
 ROMAN_SQL = "std1"
 
@@ -67,6 +67,11 @@ ADMIN = """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN ' ' || lower(r
  CASE c_custkey % 3 WHEN 0 THEN replace(n_name, '_', '-') WHEN 1 THEN n_name || '  ' ELSE n_name END AS adm2 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
 PLACES = "SELECT r_name AS adm1, n_name AS adm2 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 2"
 DECISIONS = "SELECT 'adm1' AS level, r_name || ' state' AS name_to_match, r_name AS replacement FROM {region} UNION ALL SELECT 'adm2', replace(n_name, '_', '-'), n_name FROM {nation} WHERE n_nationkey % 2 = 0"
+#: Decisions that hold under one parent, some also under any, and some twice.
+BY_PARENTS = """SELECT 'adm1' AS level, r_name || ' state' AS name_to_match, r_name AS replacement, CAST(NULL AS STRING) AS adm1 FROM {region}
+ UNION ALL SELECT 'adm2', replace(n_name, '_', '-'), n_name || ' of ' || r_name, r_name FROM {nation}, {region} WHERE (n_nationkey + r_regionkey) % 2 = 0
+ UNION ALL SELECT 'adm2', replace(n_name, '_', '-'), n_name || ' anywhere', CAST(NULL AS STRING) FROM {nation} WHERE n_nationkey % 3 = 0
+ UNION ALL SELECT 'adm2', replace(n_name, '_', '-'), n_name || ' also', CAST(NULL AS STRING) FROM {nation} WHERE n_nationkey % 3 = 0"""
 AARGS = {n: n for n in ("customer", "nation", "region")}
 BRACES = {n: f"{{{n}}}" for n in ("customer", "nation", "region")}
 CLEAN = "upper(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
@@ -113,6 +118,7 @@ QUERIES = {
     "one_to_one": _match(60.0, True),
     "coverage_crosscheck": lambda s, d: ma.coverage(_match(85.0, True)(s, d), lookup(s, d)),
     "apply_decisions": lambda s, d: decided(s, d).select("id", "adm1", "adm2"),
+    "decisions_by_parents": lambda s, d: ma.apply_decisions(admin(s, d), view(s, d, BY_PARENTS.format(**BRACES), "nation", "region"), ["adm1", "adm2"]).select("id", "adm1", "adm2"),
     "match_stats": lambda s, d: ma.match_stats(decided(s, d), places(s, d), ["adm1", "adm2"]),
     "impute_parent": lambda s, d: ma.impute_parent(decided(s, d), places(s, d), "adm2", "adm1").select("id", "adm2", "adm1_imputed"),
     "distance_rank": lambda s, d: ma.nearest_names(target(s, d).where("hf is not null").select(F.col("adm2").alias("block"), F.col("hf").alias("name")).distinct(), lookup(s, d).select(F.col("adm2").alias("block"), F.col("hf_mfl").alias("candidate"))),
@@ -130,6 +136,9 @@ ORACLE_SQL = {
     "match_strict": f"WITH {_match_sql(95.0, False)} SELECT *, {STATUS} FROM mt",
     "one_to_one": f"WITH {_match_sql(60.0, True)} SELECT *, {STATUS} FROM mt",
     "coverage_crosscheck": f"WITH {_match_sql(85.0, True)}, g AS (SELECT count(*) AS n_lookup, count(*) FILTER (hf_mfl IN (SELECT hf_mfl FROM mt)) AS n_matched FROM l0) SELECT n_lookup, n_matched, n_lookup - n_matched AS n_only_lookup, round_even(100.0 * (n_lookup - n_matched) / n_lookup, 4) AS pct_only_lookup FROM g",
+    "decisions_by_parents": f"""WITH a AS ({ADMIN.format(**AARGS)}), de AS ({BY_PARENTS.format(**AARGS)}), c AS (SELECT id, {CLEAN.format('adm1')} AS adm1, {CLEAN.format('adm2')} AS adm2 FROM a),
+k AS (SELECT level, {CLEAN.format('name_to_match')} AS f, {CLEAN.format('replacement')} AS t, {CLEAN.format('adm1')} AS parent FROM de), up AS (SELECT id, coalesce((SELECT min(t) FROM k WHERE level = 'adm1' AND f = adm1), adm1) AS adm1, adm2 FROM c)
+SELECT id, adm1, coalesce((SELECT min(t) FROM k WHERE level = 'adm2' AND f = adm2 AND parent = up.adm1), (SELECT min(t) FROM k WHERE level = 'adm2' AND f = adm2 AND parent IS NULL), adm2) AS adm2 FROM up""",
     "apply_decisions": f"{DECIDED} SELECT id, adm1, adm2 FROM dd",
     "match_stats": f"""{DECIDED}, t1 AS (SELECT DISTINCT adm1 AS k FROM dd), t2 AS (SELECT DISTINCT adm1 || '_' || adm2 AS k FROM dd), q1 AS (SELECT DISTINCT {CLEAN.format('adm1')} AS k FROM pl), q2 AS (SELECT DISTINCT {CLEAN.format('adm1')} || '_' || {CLEAN.format('adm2')} AS k FROM pl)
 SELECT 'adm1' AS level, count(*) AS n_target, (SELECT count(*) FROM q1) AS n_lookup, count(*) FILTER (k IN (SELECT k FROM q1)) AS n_matched FROM t1 UNION ALL SELECT 'adm2', count(*), (SELECT count(*) FROM q2), count(*) FILTER (k IN (SELECT k FROM q2)) FROM t2""",

@@ -77,6 +77,8 @@ def _with_ceiling(s, d):
 PAIRS = [("conf", "test"), ("test", "susp"), ("conf", "susp")]
 DUP = "SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day FROM {0}"
 
+#: Values of some facilities only, so that there are groups without any.
+SOME = "CASE WHEN length(hf) % 2 = 0 OR hf LIKE '%3' THEN conf END"
 QUERIES = {
     **{k: _shown(r) for k, r in RULES.items()},
     "outbreak_gap0": _outbreak(0, 2),
@@ -94,7 +96,7 @@ QUERIES = {
     "future_dates": lambda s, d: qa.future_dates(panel(s, d), "date", "2001-05-17", ["record_id"]),
     "row_sum_fallback": lambda s, d: panel(s, d).select("record_id", qa.row_sum(["conf", "test", "susp"], 2).alias("total")),
     "diff_fallback": lambda s, d: panel(s, d).select("record_id", qa.difference_or("test", "susp").alias("difference")),
-    "safe_sum": lambda s, d: panel(s, d).where("record_id % 3 = 0 or record_id % 7 = 1").groupBy("hf").agg(F.sum("conf").alias("sum_or_null"), F.coalesce(F.sum("conf"), F.lit(0.0)).alias("sum_or_zero"), F.count("*").alias("n")).select("hf", F.bround("sum_or_null", 2).alias("sum_or_null"), F.bround("sum_or_zero", 2).alias("sum_or_zero"), "n"),
+    "safe_sum": lambda s, d: panel(s, d).withColumn("conf", F.expr(SOME)).groupBy("hf").agg(F.sum("conf").alias("sum_or_null"), F.coalesce(F.sum("conf"), F.lit(0.0)).alias("sum_or_zero"), F.count("*").alias("n")).select("hf", F.bround("sum_or_null", 2).alias("sum_or_null"), F.bround("sum_or_zero", 2).alias("sum_or_zero"), "n"),
 }
 P = f"WITH p AS ({PANEL})"
 LAGS = "lag(cases) OVER o AS a, lead(cases) OVER o AS b"
@@ -120,5 +122,5 @@ s AS (SELECT hf, date, med2 AS median, CASE WHEN med2 IS NULL THEN 'no_neighbour
     "future_dates": f"{P} SELECT record_id, date FROM p WHERE date > DATE '2001-05-01'",
     "row_sum_fallback": f"{P} SELECT record_id, CASE WHEN CAST(conf IS NOT NULL AS INT) + CAST(test IS NOT NULL AS INT) + CAST(susp IS NOT NULL AS INT) >= 2 THEN coalesce(conf, 0) + coalesce(test, 0) + coalesce(susp, 0) END AS total FROM p",
     "diff_fallback": f"{P} SELECT record_id, CASE WHEN test IS NOT NULL AND susp IS NOT NULL THEN abs(test - susp) ELSE coalesce(test, susp) END AS difference FROM p",
-    "safe_sum": f"{P} SELECT hf, round_even(sum(conf), 2) AS sum_or_null, round_even(coalesce(sum(conf), 0), 2) AS sum_or_zero, count(*) AS n FROM p WHERE record_id % 3 = 0 OR record_id % 7 = 1 GROUP BY hf",
+    "safe_sum": f"{P} SELECT hf, round_even(sum({SOME}), 2) AS sum_or_null, round_even(coalesce(sum({SOME}), 0), 2) AS sum_or_zero, count(*) AS n FROM p GROUP BY hf",
 }

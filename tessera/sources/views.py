@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 
 def survey_view(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """All files of one kind under root/kind: columns united by name, folders like key=value as columns, the file of each row as ``filename``; files that cannot be read are skipped."""
-    df = spark.read.options(mergeSchema=True, ignoreCorruptFiles=True, basePath=f"{root}/{kind}").parquet(f"{root}/{kind}")
+    """All files of one kind under root/kind (a folder or one file): columns united by name, folders like key=value as columns, the file of each row as ``filename``; files that cannot be read are skipped."""
+    df = spark.read.options(mergeSchema=True, ignoreCorruptFiles=True, basePath=root).parquet(f"{root}/{kind}")
     return df.withColumn("filename", F.col("_metadata.file_path"))
 
 
 def register_views(spark: SparkSession, root: str, kinds: list[str]) -> dict[str, DataFrame]:
-    """Registers a temporary view per kind, under its name in small letters."""
+    """Registers a temporary view per kind, under its name in small letters and without a file's extension."""
     out = {}
     for kind in kinds:
         df = survey_view(spark, root, kind)
-        df.createOrReplaceTempView(kind.lower())
-        out[kind.lower()] = df
+        name = kind.lower().removesuffix(".parquet")
+        df.createOrReplaceTempView(name)
+        out[name] = df
     return out
 
 
