@@ -353,11 +353,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int | None = No
     return found
 
 
-def merged(windows, length: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges [start, end) covered by strings of the length that start in the windows."""
+def merged(windows, length: int, touching: bool = True) -> list[tuple[int, int]]:
+    """Maximal ranges [start, end) covered by strings of the length that start in the windows; ``touching`` ones are one."""
     out: list[list[int]] = []
     for first, last in sorted((w["first"], w["last"]) for w in windows or ()):
-        if out and first <= out[-1][1]:
+        if out and (first < out[-1][1] or touching and first == out[-1][1]):
             out[-1][1] = max(out[-1][1], last + length)
         else:
             out.append([first, last + length])
@@ -436,7 +436,7 @@ def _cut(length: int, words: int):
         data = text.encode("utf-8", "surrogatepass")
         ranges = merged(windows, length)
         if passages is not None:
-            both = sorted(ranges + _byte_ranges(data, merged(passages, words)))
+            both = sorted(ranges + _byte_ranges(data, merged(passages, words, touching=False)))  # white space between two passages stays
             ranges = []
             for start, end in both:
                 if ranges and start <= ranges[-1][1]:
