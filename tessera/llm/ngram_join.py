@@ -6,7 +6,8 @@ n-grams, so with MATCHES fragments more than that (and some to spare for empty o
 fragments give the candidates. For each
 candidate pair the overlaps of coarser fragments are counted apart and summed, and the exact ratio decides.
 
-Candidates of a group with an equal fragment are not all its pairs: first each member meets the group's smallest member.
+Candidates of a group with an equal fragment are not all its pairs: first each member meets the group's lead, the member with most
+equal fragments in the table (of near copies the least changed one, whatever its id).
 A set that the links found leave apart in fewer groups than a link needs is done. The others are then met across components, by
 the n-grams in which such sets differ most (rarest first, with the place of the first common one), so no link is lost, while
 near copies of one text hardly meet. Any order of the n-grams will do for that, so rarity is read from a table of a fixed
@@ -26,7 +27,7 @@ from .common import components, dropped, read, sliced, staged
 SHARDS = 8  # fragments in which overlaps are counted
 GROWTH = 1.4  # sizes of one class differ by this factor at most
 SPARE, EMPTY = 3, 0.06  # empty fragments of a set that need no key: this many, or this part of the fragments
-LIKELY = 8  # sets meet a group's smallest member at once if they share this part of their keys with it
+LIKELY = 8  # sets meet a group's lead at once if they share this part of their keys with it
 MATCHES = 4  # equal fragments of a linked pair, where sets are large enough
 COUNTS = 1 << 23  # buckets in which n-grams are counted for their order, a byte each
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -230,10 +231,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = same.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
     posting = first.select(F.explode("keys").alias("key"), "id", "n", "least", F.size("keys").alias("m"))
     # most keys occur once: they are counted alone, and only the others are joined with their sets
-    often = staged(posting.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "met")
+    often = staged(posting.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "met")
     groups = staged(posting.join(often, "key"), "groups")
     dropped(full)
-    met = staged(groups.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last"), "leads")
+    weight = staged(groups.groupBy("id").agg(F.sum("f").alias("weight")), "weights")
+    groups = groups.drop("f")
+    # ids do not choose the lead: a much changed copy as the lead would leave the others apart
+    top = F.max(F.struct("weight", F.bitwise_not("id").alias("not_id")))  # of equal weights the smallest id
+    met = groups.join(weight, "id").groupBy("key").agg(top.alias("top"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    met = staged(met.select("key", F.bitwise_not("top.not_id").alias("lead")), "leads")
 
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.greatest("na", "nb") * num <= F.least("na", "nb") * den).select("a", "b").distinct()
@@ -241,7 +247,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lead = sizes.select(F.col("id").alias("lead"), F.col("n").alias("na"))
     lone = groups.join(met.select("key", "lead"), "key").where("lead <> id").groupBy("lead", F.col("id").alias("b"), F.col("n").alias("nb"), "m").agg(F.count("*").alias("k"))
     pairs = lone.where(F.col("k") * LIKELY >= F.col("m")).select("lead", "b", "nb")  # links that have other leads or share less are met below
-    pairs = staged(near(pairs.join(lead, "lead").withColumnRenamed("lead", "a")), "pairs")
+    pairs = near(pairs.join(lead, "lead").withColumnRenamed("lead", "a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = staged(pairs, "pairs")
     wanted = groups.groupBy("id", "n", "least").agg(F.count("*").alias("k")).where("k >= least").select("id").distinct()
     groups = groups.drop("m")
     shards = staged(base.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_shards(width), "id long, shard int, grams array<long>"), "shards")
