@@ -202,7 +202,9 @@ def _rare_first(sets: DataFrame, shards: DataFrame, num: int, den: int) -> DataF
     dropped(whole)
     held = first.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     held = staged(held, "open-grams")  # a plain side, so that a hot n-gram's rows can be split
-    first = staged(first.join(held.select("g", F.col("top.c").alias("top")), "g"), "shared-prefixes")
+    every = first
+    first = staged(every.join(held.select("g", F.col("top.c").alias("top")), "g"), "shared-prefixes")
+    dropped(every)
     x, y = (first.select("g", "top", *(F.col(v).alias(f"{v}{k}") for v in ("id", "n", "c", "i"))) for k in "xy")
     need = F.floor((num * (F.col("nx") + F.col("ny")) + num + den - 1) / (num + den))
     # the largest component of an n-gram never meets itself
@@ -232,10 +234,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posting = first.select(F.explode("keys").alias("key"), "id", "n", "least", F.size("keys").alias("m"))
     # most keys occur once: they are counted alone, and only the others are joined with their sets
     often = staged(posting.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "met")
-    groups = staged(posting.join(often, "key"), "groups")
+    raw = staged(posting.join(often, "key"), "groups")
     dropped(full)
-    weight = staged(groups.groupBy("id").agg(F.sum("f").alias("weight")), "weights")
-    groups = groups.drop("f")
+    weight = staged(raw.groupBy("id").agg(F.sum("f").alias("weight")), "weights")
+    groups = raw.drop("f")
     # ids do not choose the lead: a much changed copy as the lead would leave the others apart
     top = F.max(F.struct("weight", F.bitwise_not("id").alias("not_id")))  # of equal weights the smallest id
     met = groups.join(weight, "id").groupBy("key").agg(top.alias("top"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
@@ -254,6 +256,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shards = staged(base.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_shards(width), "id long, shard int, grams array<long>"), "shards")
     links = staged(_linked(pairs, shards, sizes, num, den), "links")
     found = components(links)
+    for done in (often, weight, met):
+        dropped(done)
     # members of groups that are still apart may link across their components
     tagged = groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "least", F.coalesce("component", "id").alias("c"))
     tagged = staged(tagged, "tagged")
@@ -265,6 +269,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not more.isEmpty():
         links = links.unionByName(staged(_linked(more, shards, sizes, num, den), "more-links"))
         found = components(links)
+    for done in (pairs, raw, tagged, apart, open_, shards, more):
+        dropped(done)
     of_rep = found.select(F.col("node").alias("rep"), "component")
     placed = member.join(of_rep, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return made.select("id", "n").join(placed, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -279,19 +279,20 @@ def _leaf_rows(batches):
         yield from flush(rows)
 
 
-def _named(texts: DataFrame, length: int, gram: int, symbols) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From texts (key, text, copies): runs (key, first, last) of windows that repeat as a whole, (key, runs) with the runs that are open, and the staged table that both read."""
+def _named(texts: DataFrame, length: int, gram: int, symbols) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """From texts (key, text, copies): runs (key, first, last) of windows that repeat as a whole, (key, runs) with the runs that are open, and the staged tables that these read."""
     anchor = staged(texts.select("key", "text", "copies").mapInArrow(_anchor_rows(length, gram, symbols), ANCHOR), "anchors")
     # both sides of this join are plain shuffles, and what follows has keys of its own: a hot gram's rows can be split
     name = staged(anchor.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "names")
     named = staged(anchor.join(name, "h", "left_semi"), "named")
-    dropped(anchor)
+    for done in (anchor, name):
+        dropped(done)
     twice = named.groupBy("h", "u").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s", "e", "p")).alias("one"))
     twice = staged(twice, "classes")
     whole = named.join(twice.where("n > 1").select("h", "u"), ["h", "u"], "left_semi").select("key", F.col("s").alias("first"), F.col("l").alias("last"))
     open_ = twice.where("n = 1")
     apart = twice.join(open_.groupBy("h").agg(F.lit(1).alias("x")), "h", "left_semi")
-    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), named
+    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), (named, twice)
 
 
 def distinct_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
@@ -326,7 +327,7 @@ def repeated_passages(texts: DataFrame, words: int = WORDS) -> DataFrame:
     again = staged(window.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
     single = window.where("own").join(again, ["w1", "w2"], "left_semi").select("key", "first", F.col("first").alias("last"))
     found = staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("passages")), "passages")
-    for done in (window, again, named):
+    for done in (window, again, *named):
         dropped(done)
     return found
 
@@ -348,7 +349,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int | None = No
     hot = hot.where("own").join(again, ["c1", "c2", "r", "bytes"], "left_semi").select("key", "at", "r")
     single = bits.unionByName(hot).select("key", (F.col("at") - F.col("r")).alias("first"), (F.col("at") - F.col("r")).alias("last"))
     found = staged(whole.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "spans")
-    for done in (cells, core, named):
+    for done in (cells, core, *named):
         dropped(done)
     return found
 
@@ -408,6 +409,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = distinct_texts(docs, text_col, min(length, 2 * words - 1))
     found = texts.join(_repeats(texts, length, words), "key").select("key", "copies", "text", "windows", "passages").mapInArrow(_digests(length, words), DIGESTS)
     found = staged(found, "digests")
+    dropped(texts)
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
     joined = with_copies(staged(base, "rows"), found, ["key"], "copies")
@@ -462,6 +464,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = N
     texts = distinct_texts(docs, "text", length if words is None else min(length, 2 * words - 1))
     found = texts.join(_repeats(texts, length, words), "key").select("key", "text", "windows", "passages").mapInArrow(_cut(length, words or WORDS), "_key binary, _cut string")
     found = staged(found, "cut-texts")  # a plain side, so that the rows of a hot text can be split
+    dropped(texts)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), text_key().alias("_key"))
     joined = whole.join(found, "_key", "left")
     return joined.select(*(F.coalesce("_cut", "_doc.text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns))

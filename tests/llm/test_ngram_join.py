@@ -76,3 +76,26 @@ def test_representatives_by_row(spark):
     rows = [(7, a), (7, b), (7, b), (3, a), (9, b), (9, c), (4, None), (4, None), (None, c)]
     kept = nj.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in kept), key=str) == sorted([(3, a), (7, b), (9, c), (4, None), (None, c)], key=str)
+
+
+def test_copies_meet_the_least_changed_one(spark, monkeypatch):
+    """Copies that link only with their original, which has the largest id: about one candidate pair for each, not all pairs."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for at in rng.sample(range(0, 300, 6), 6):
+            t[at] = f"new{rng.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    rows.append((999, " ".join(base)))
+    seen, whole = [], nj._linked
+
+    def counted(pairs, *a):
+        seen.append(pairs.count())
+        return whole(pairs, *a)
+
+    monkeypatch.setattr(nj, "_linked", counted)
+    got = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5, num=4, den=5).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(seen) <= 2 * len(rows)
