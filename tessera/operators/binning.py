@@ -78,3 +78,60 @@ def bin_counts(df: DataFrame, x: str, breaks: DataFrame) -> DataFrame:
     rows = df.select(F.col(x).cast("double").alias("x")).where("x is not null").crossJoin(F.broadcast(bounds)).select(bin_index(F.col("x"), F.col("breaks")).alias("bin"))
     n = rows.groupBy("bin").agg(F.count("*").alias("n"))
     return bins.join(n, "bin", "left").select(F.col("bin").cast("long").alias("bin"), F.when(F.col("upper") < INF, F.bround("upper", 6)).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def number_label(v: float, digits: int) -> str:
+    """1500 as 1.5K and 2000000 as 2M, smaller numbers with a fixed number of decimals."""
+    for unit, text in ((1e6, "M"), (1e3, "K")):
+        if abs(v) >= unit:
+            return f"{round(v / unit, digits):.15g}{text}"
+    return f"{v:.{digits}f}"
+
+
+def bin_labels(low: float, breaks: list[float], whole_range: float, decimals: int = 2, round_to: float | None = 50) -> list[str]:
+    """A label for each bin from the least value and the upper bounds, which are few.
+
+    Bounds are rounded to ``round_to`` (0.05 in its place where all values lie within 2). Where two labels or the two ends of one
+    would read the same, finer units are tried, then the bounds themselves with up to three more decimals.
+    """
+    small = whole_range <= 2
+    step = 0.05 if small and round_to == 50 else round_to
+
+    def made(unit: float | None, digits: int) -> tuple[list[str], bool]:
+        at = [v if unit is None or v == INF else round(v / unit) * unit for v in (low, *breaks)]
+        apart = " to " if min(at) < 0 else "–"
+        ends = [(number_label(a, digits), None if b == INF else number_label(b, digits)) for a, b in zip(at, at[1:])]
+        labels = [f">{a}" if b is None else f"{a}{apart}{b}" for a, b in ends]
+        return labels, len(set(labels)) == len(labels) and all(a != b for a, b in ends)
+
+    digits = decimals if small or step is None else 0
+    tries, few = [(step, digits)], digits
+    for part in (2, 5, 10) if step is not None else ():
+        tries.append((step / part, few))
+        if digits < decimals + 3:
+            digits += 1
+            tries.append((step / part, digits))
+    tries += [(None, d) for d in range(max(digits, decimals), decimals + 4)]
+    labels: list[str] = []
+    for unit, d in tries:
+        labels, good = made(unit, d)
+        if good:
+            break
+    return labels
+
+
+def adaptive_bins(df: DataFrame, x: str, bins: int = 6, decimals: int = 2, round_to: float | None = 50) -> DataFrame:
+    """(method, bin, label, n): the method that ``shape`` asks for, its bins with labels, and the rows of each; nothing without values.
+
+    The range, the shape and the bounds go to the driver, a row each, since labels depend on each other.
+    """
+    whole = df.agg(F.min(F.col(x).cast("double")).alias("lo"), F.max(F.col(x).cast("double")).alias("hi")).first()
+    if whole.lo is None:
+        return df.sparkSession.createDataFrame([], "method string, bin long, label string, n long")
+    method = shape(df, x).first().method
+    breaks = {"headtail": headtail_breaks, "hybrid": hybrid_breaks, "quantile": quantile_breaks}[method](df, x, bins)
+    found = sorted(set(breaks.first().breaks))
+    labels = bin_labels(whole.lo, found, whole.hi - whole.lo, decimals, round_to)
+    bounds = df.sparkSession.range(1).select(F.array(*map(F.lit, found)).alias("breaks"))
+    label = F.element_at(F.array(*map(F.lit, labels)), F.col("bin").cast("int"))
+    return bin_counts(df, x, bounds).select(F.lit(method).alias("method"), "bin", label.alias("label"), "n")

@@ -141,14 +141,18 @@ def impute_moving_average(df: DataFrame, value: str, threshold: str, groups: lis
     return rows.withColumn(f"{value}_imputed", F.when((F.col(value) > limit) & mean.isNotNull(), half_even(mean)).otherwise(F.col(value))).drop("_a", "_b")
 
 
-def correct_with_neighbours(df: DataFrame, target: str, consistency: str, flag: str, groups: list[str], order: list[str], k: int = 5, direction: str = "lte") -> DataFrame:
+def correct_with_neighbours(df: DataFrame, target: str, consistency: str, flag: str, groups: list[str], order: list[str], k: int = 5, direction: str = "lte", consistency_flag: str | None = None) -> DataFrame:
     """Rows of ``target`` flagged as outliers, with the rounded median of up to k neighbours on both sides.
 
+    Rows whose consistency value is an outlier too, by ``consistency_flag``, are left out: both may have risen for a reason.
+
     No correction where one side has no neighbour, or where the median breaks the cascade with the consistency value (lte: it must
     not be larger; gte: not smaller); a null consistency value breaks nothing.
     """
     at = Window.partitionBy(*groups).orderBy(*(F.asc_nulls_last(c) for c in order))
     rows = df.withColumns({"_l": F.collect_list(target).over(at.rowsBetween(-k, -1)), "_r": F.collect_list(target).over(at.rowsBetween(1, k))}).where(F.col(flag) == "outlier")
+    if consistency_flag:
+        rows = rows.where(~F.col(consistency_flag).eqNullSafe(F.lit("outlier")))
     both = F.array_sort(F.concat("_l", "_r"))
     n = F.size(both)
     middle = half_even((F.element_at(both, F.floor((n + 1) / 2).cast("int")) + F.element_at(both, F.floor((n + 2) / 2).cast("int"))) / 2)
@@ -157,3 +161,10 @@ def correct_with_neighbours(df: DataFrame, target: str, consistency: str, flag:
     broken = F.coalesce(F.col("median") > F.col(consistency) if direction == "lte" else F.col("median") < F.col(consistency), F.lit(False))
     status = F.when(lonely, "no_neighbours").when(broken, "inconsistent").otherwise("corrected")
     return rows.withColumn("status", status).withColumn("corrected", F.when(F.col("status") == "corrected", F.col("median"))).drop("_l", "_r")
+
+
+def correction_summary(corrected: DataFrame) -> DataFrame:
+    """Per status of ``correct_with_neighbours``: rows, their part of all in percent, and the sum of the corrected values."""
+    got = corrected.groupBy("status").agg(F.count("*").alias("n"), F.sum("corrected").alias("sum_corrected"))
+    whole = corrected.agg(F.count("*").alias("_all"))
+    return got.crossJoin(F.broadcast(whole)).select("status", "n", F.bround(100 * F.col("n") / F.col("_all"), 2).alias("pct"), "sum_corrected")

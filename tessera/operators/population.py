@@ -104,3 +104,11 @@ def trend_logistic(df: DataFrame, groups: list[str], year: str, value: str, star
 def trend_hybrid(a: DataFrame, b: DataFrame, groups: list[str], year: str, value: str) -> DataFrame:
     """The mean of two projections by group and year."""
     return a.select(*groups, year, value).unionByName(b.select(*groups, year, value)).groupBy(*groups, year).agg(F.avg(value).alias(value))
+
+
+def filled(df: DataFrame, value: str, groups: list[str], order: list[str], direction: str = "downup") -> DataFrame:
+    """Nulls of a column take the last value before them in the group (``down``), the next after them (``up``), or the one where the other is missing (``downup``, ``updown``)."""
+    by = Window.partitionBy(*groups).orderBy(*(F.asc_nulls_last(c) for c in order))
+    down = F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    up = F.first(value, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn(value, {"down": down, "up": up, "downup": F.coalesce(down, up), "updown": F.coalesce(up, down)}[direction])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROTECTED = r"(?i)(^|_)(id|code|uid|guid|phone|tel)($|_)"
@@ -94,3 +94,33 @@ def rename_by_dictionary(df: DataFrame, dictionary: dict[str, str]) -> DataFrame
         taken.add(name)
         out.append(F.col(f"`{c}`").alias(name))
     return df.select(*out)
+
+
+def examples(df: DataFrame, columns: list[str], n: int = 3, width: int = 60) -> DataFrame:
+    """(variable, examples): the n most frequent values of each column as text, ties by value, cut to ``width`` characters with dots; empty without values.
+
+    Columns become rows; values are counted before they are ranked, and only n of a variable leave a task.
+    """
+    long = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).unpivot([], [F.col(f"`{c}`") for c in columns], "variable", "value")
+    some = long.where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("k"))
+    order = Window.partitionBy("variable").orderBy(F.desc("k"), "value")
+    top = some.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda r: r["value"]), ", ")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    whole = names.join(top.groupBy("variable").agg(text.alias("t")), "variable", "left").withColumn("t", F.coalesce("t", F.lit("")))
+    return whole.select("variable", F.when(F.length("t") > width, F.concat(F.substring("t", 1, width - 3), F.lit("..."))).otherwise(F.col("t")).alias("examples"))
+
+
+# Names of the months by language.
+MONTH_NAMES = {
+    "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "pt": ("janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
+
+
+def month_label(date: Column | str, language: str = "en") -> Column:
+    """The month's name in a language and the year; null dates stay null."""
+    c = F.col(date) if isinstance(date, str) else date
+    return F.concat(F.element_at(F.array(*map(F.lit, MONTH_NAMES[language])), F.month(c)), F.lit(" "), F.year(c).cast("string"))

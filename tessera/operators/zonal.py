@@ -115,3 +115,28 @@ def points_in_zones(points: DataFrame, zones: DataFrame, x: str, y: str) -> Data
     box = zones.withColumns({"x0": F.array_min(F.transform(ring, lambda p: p["x"])), "x1": F.array_max(F.transform(ring, lambda p: p["x"])), "y0": F.array_min(F.transform(ring, lambda p: p["y"])), "y1": F.array_max(F.transform(ring, lambda p: p["y"]))})
     near = points.join(box, F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
     return near.where(in_polygon(F.col(x), F.col(y), ring)).drop("ring", "x0", "x1", "y0", "y1")
+
+
+# A point of the compass, a sign, degrees, minutes, seconds, a point of the compass.
+DMS = r"(?i)^\s*([NSEW])?\s*([-−+])?\s*(\d{1,3}(?:[.,]\d+)?)(?:(?:\s*[°º:d]\s*|\s+)(\d{1,2}(?:[.,]\d+)?)(?:(?:\s*['′’:m]\s*|\s+)(\d{1,2}(?:[.,]\d+)?))?)?\s*[°º'\"′″’”]*\s*([NSEW])?\s*$"
+DMS_MARKS = r"[°º′″'\"NSEWnsew]|\d+\s+\d+"
+
+
+def dms_coordinate(x: Column | str) -> Column:
+    """A coordinate in degrees, minutes and seconds as a number; text without their marks is read by ``clean_coordinate``.
+
+    South and west are negative, as is a minus. Minutes or seconds of 60 or more, and marks that do not fit the form, give null.
+    """
+    c = F.col(x) if isinstance(x, str) else x
+    part = lambda i: F.regexp_extract(c, DMS, i)
+    number = lambda i: F.coalesce(F.replace(part(i), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
+    minus = part(2).isin("-", "−") | F.upper(part(1)).isin("S", "W") | F.upper(part(6)).isin("S", "W")
+    size = number(3) + number(4) / 60 + number(5) / 3600
+    read = F.when((part(3) != "") & (number(4) < 60) & (number(5) < 60), F.when(minus, -size).otherwise(size))
+    return F.when(c.rlike(DMS_MARKS), read).otherwise(clean_coordinate(c))
+
+
+def decimal_places(x: Column | str) -> Column:
+    """Digits after the point of a number as text, without zeros at the end; 0 where there is no point, null for null."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.when(c.isNotNull(), F.length(F.rtrim(F.regexp_extract(F.trim(c), r"[.,](\d*?)0*$", 1))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import areas, facility, harmonise, surveillance
+from . import areas, facility, harmonise, reports, surveillance
 
-MODULES = (facility, surveillance, harmonise, areas)
+MODULES = (facility, surveillance, harmonise, areas, reports)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "reporting_rate_combined"

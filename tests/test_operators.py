@@ -202,3 +202,27 @@ def test_many_to_one_separate_and_numbers(spark):
     assert se.separate(left, "t", ["x"], "-", "drop").where("x = 'a'").count() == 2
     nums = spark.createDataFrame([(1234.0,), (5600000.0,), (12.0,), (None,), (2000.0,)], "n double").select(se.short_number("n"), se.big_mark("n")).collect()
     assert [tuple(r) for r in nums] == [("1.2K", "1,234"), ("5.6M", "5,600,000"), ("12", "12"), (None, None), ("2K", "2,000")]
+
+
+def test_bin_labels():
+    inf = float("inf")
+    assert bi.bin_labels(0, [120, 980, 2600, inf], 9000) == ["0–100", "100–1K", "1K–3K", ">3K"]
+    assert bi.bin_labels(0, [0.31, 0.62, 1.0], 1.0) == ["0.00–0.30", "0.30–0.60", "0.60–1.00"]
+    assert bi.bin_labels(0, [10, 20, 30], 30)[0] == "0–10"  # finer units where labels would meet
+    assert bi.bin_labels(-60, [0, 200], 260) == ["-50 to 0", "0 to 200"]
+
+
+def test_coordinates_in_degrees_and_minutes(spark):
+    texts = ["12°30'E", "12°30'36\"S", "W 45 15", "7.25", "12°75'N", "abc N", None, "", "12345N"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.bround(zo.dms_coordinate("t"), 4), zo.decimal_places("t"))
+    got = [tuple(r) for r in df.collect()]
+    assert [g[0] for g in got] == [12.5, -12.51, -45.25, 7.25, None, None, None, None, None]
+    assert [g[1] for g in got][3] == 2 and got[6][1] is None
+
+
+def test_examples_and_fill(spark):
+    df = spark.createDataFrame([("b", None), ("b", None), ("a", None), ("c", None), (None, None)], "x string, `y z` string")
+    assert sorted(tuple(r) for r in ty.examples(df, ["x", "y z"], 2).collect()) == [("x", "b, a"), ("y z", "")]
+    rows = spark.createDataFrame([("g", 1, None), ("g", 2, 5.0), ("g", 3, None), ("h", 1, None)], "g string, t int, v double")
+    got = {k: [r.v for r in po.filled(rows, "v", ["g"], ["t"], k).orderBy("g", "t").collect()] for k in ("down", "up", "downup")}
+    assert got == {"down": [None, 5.0, 5.0, None], "up": [5.0, 5.0, None, None], "downup": [5.0, 5.0, 5.0, None]}
