@@ -41,7 +41,10 @@ def match_facilities(target: DataFrame, lookup: DataFrame, admins: list[str], th
     std = _without(std, exact, keys)
     rest = _without(left, std, keys)
     pairs = null_safe_join(rest.select(*admins, "uid", "hf", "std"), mfl.select(*admins, "hf_mfl", "std_mfl"), admins, "inner")
-    pairs = pairs.withColumn("s", 50 * jaro_similarity("std", "std_mfl") + 50 * edit_similarity(F.col("std"), F.col("std_mfl")))
+    edit = 50 * edit_similarity(F.col("std"), F.col("std_mfl"))
+    shorter, longer = (f(F.length("std"), F.length("std_mfl")) for f in (F.least, F.greatest))
+    able = (50 + 50 * shorter / longer >= threshold - 1e-6) & (50 + edit >= threshold - 1e-6)  # with a Jaro similarity of 1
+    pairs = pairs.where(able).withColumn("s", 50 * jaro_similarity("std", "std_mfl") + edit)
     fuzzy = best(pairs.where(F.col("s") >= threshold), "s", "fuzzy")
     found = exact.unionByName(std).unionByName(fuzzy)
     if one_to_one:

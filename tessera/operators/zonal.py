@@ -110,11 +110,76 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
 
 
 def points_in_zones(points: DataFrame, zones: DataFrame, x: str, y: str) -> DataFrame:
-    """(point columns, zone): the zones (zone, ring) that contain each point; a bounding box is tested before the ring."""
-    ring = F.col("ring")
-    box = zones.withColumns({"x0": F.array_min(F.transform(ring, lambda p: p["x"])), "x1": F.array_max(F.transform(ring, lambda p: p["x"])), "y0": F.array_min(F.transform(ring, lambda p: p["y"])), "y1": F.array_max(F.transform(ring, lambda p: p["y"]))})
-    near = points.join(box, F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
-    return near.where(in_polygon(F.col(x), F.col(y), ring)).drop("ring", "x0", "x1", "y0", "y1")
+    """(point columns, zone columns but the ring): the zones (zone, ring) that contain each point; a bounding box is tested before the ring.
+
+    Points and zones meet by equal grid cells, so neither side has to fit a broadcast. A zone is put on the grid whose cells, a power of
+    two wide, are as large as its longer side, of which it covers four at most; a point has one cell on each grid in use, of which there
+    are as many as there are sizes of zones. Missing coordinates lie in no zone.
+    """
+    corner = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    edges = {f"_{c}{i}": corner(f, c).cast("double") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))}
+    box = zones.select(F.struct(*(F.col(f"`{c}`") for c in zones.columns if c != "ring")).alias("_zone"), "ring").select("_zone", "ring", *(v.alias(k) for k, v in edges.items()))
+    longer = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    box = box.where(longer > 0).withColumn("_level", F.ceil(F.log2(longer)).cast("int"))  # a ring without extent contains nothing
+    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level))
+    for c in "xy":
+        box = box.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"_{c}0"), F.col("_level")), cell(F.col(f"_{c}1"), F.col("_level")))))
+    levels = box.agg(F.collect_set("_level").alias("_levels"))  # exponents of double numbers
+    at = points.select(F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("_point"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    at = at.where((F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf"))).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    at = at.select("_point", "_x", "_y", "_level", cell(F.col("_x"), F.col("_level")).alias("_cx"), cell(F.col("_y"), F.col("_level")).alias("_cy"))
+    near = at.join(box, ["_level", "_cx", "_cy"]).where(F.col("_x").between(F.col("_x0"), F.col("_x1")) & F.col("_y").between(F.col("_y0"), F.col("_y1")))
+    return near.where(in_polygon(F.col("_x"), F.col("_y"), F.col("ring"))).select("_point.*", "_zone.*")
+
+
+def ring_area(ring: Column) -> Column:
+    """The area of a ring of structs (x, y), whichever way round it goes; 0 where it has fewer than three points."""
+    n = F.size(ring)
+
+    def edge(total, i):
+        a, b = F.element_at(ring, i), F.element_at(ring, i % n + 1)
+        return total + a["x"] * b["y"] - b["x"] * a["y"]
+
+    return F.when(n < 3, 0.0).otherwise(F.abs(F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), edge)) / 2)
+
+
+def _sides_cross(ring: Column) -> Column:
+    """Whether two sides of a ring that do not follow each other have a point in common."""
+    n = F.size(ring)
+    point = lambda i: F.element_at(ring, (i - 1) % n + 1)
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    within = lambda a, b, c: c["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & c["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    def meet(i, j):
+        a, b, c, d = point(i), point(i + 1), point(j), point(j + 1)
+        s, t, u, v = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+        touch = ((s == 0) & within(a, b, c)) | ((t == 0) & within(a, b, d)) | ((u == 0) & within(c, d, a)) | ((v == 0) & within(c, d, b))
+        return ((s * t < 0) & (u * v < 0)) | touch
+
+    sides = F.sequence(F.lit(1), n - 2)
+    return F.when(n < 4, False).otherwise(F.exists(sides, lambda i: F.exists(F.sequence(i + 2, n), lambda j: ~((i == 1) & (j == n)) & meet(i, j))))
+
+
+def polygon_checks(df: DataFrame, keys: list[str], ring: str = "ring") -> DataFrame:
+    """All rows with what their polygon and names have: n_points, area, geometry, n_same_ring, n_same_names, duplicate.
+
+    ``geometry`` is missing (null or no points), degenerate (fewer than three points, a null coordinate or no area), crossing (two sides
+    that are no neighbours meet) or ok. Rings are given without their first point again; equal ones have the same points in the same order
+    from the same start. ``duplicate`` is true for rows that share both their ring and all their names with another; null names are equal.
+    """
+    r = F.col(f"`{ring}`")
+    spare = [c for c in df.columns]
+    base = df.select(F.struct(*(F.col(f"`{c}`") for c in spare)).alias("_row"), *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), r.alias("_ring"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    base = base.withColumn("_name", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)).withColumn("_shape", F.sha2(F.to_json(F.struct("_ring")), 256))
+    ring_ = F.col("_ring")
+    blank = F.exists(ring_, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull())
+    area = F.when(~blank, ring_area(ring_))
+    state = F.when(ring_.isNull() | (F.size(ring_) == 0), "missing").when(blank | (F.size(ring_) < 3), "degenerate").when(_sides_cross(ring_), "crossing").when(area == 0, "degenerate").otherwise("ok")
+    count = lambda *by: base.groupBy(*by).agg(F.count("*").alias("_".join(("n", *by))))
+    out = base.join(count("_shape"), "_shape").join(count("_name"), "_name").join(count("_shape", "_name"), ["_shape", "_name"])
+    there = F.when(state != "missing", F.col("n__shape"))
+    return out.select("_row.*", F.coalesce(F.size(ring_), F.lit(0)).cast("long").alias("n_points"), area.alias("area"), state.alias("geometry"), there.alias("n_same_ring"), F.col("n__name").alias("n_same_names"), (F.col("n__shape__name") > 1).alias("duplicate"))
 
 
 # A point of the compass, a sign, degrees, minutes, seconds, a point of the compass.

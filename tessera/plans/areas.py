@@ -63,6 +63,15 @@ def rings(s, d):
     return r.select("zone", F.array(corner(a, F.lit(0.0)), corner(b, F.lit(0.0)), corner(b, F.lit(4.0)), corner(a + 1, F.lit(6.0)), corner(a, F.lit(4.0))).alias("ring"))
 
 
+def shapes(s, d):
+    """Suppliers' polygons: squares, bow ties, lines, none; some equal, some with equal names."""
+    p = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("A"), (F.col("s_suppkey") % 7).cast("string")).alias("adm1"), F.when(F.col("s_suppkey") % 11 > 0, (F.col("s_suppkey") % 5).cast("string")).alias("adm2"))
+    k = (F.col("id") % 6).cast("double")
+    corner = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    ring = F.when(k == 0, F.array(corner(0, 0), corner(2, 2), corner(2, 0), corner(0, 2))).when(k == 1, F.array(corner(0, 0), corner(1, 1), corner(2, 2))).when(k > 2, F.array(corner(0, 0), corner(k, 0), corner(k, 3), corner(0, 3)))
+    return p.withColumn("ring", ring)
+
+
 def _bins(make, x, name):
     return lambda s, d: bi.bin_counts(table(s, d, name), x, make(table(s, d, name)))
 
@@ -117,9 +126,15 @@ QUERIES = {
     "coord_flags": lambda s, d: zo.coordinate_flags(coords(s, d), "lon", "lat", BOX).select("id", "coord_flag"),
     "coord_duplicates": lambda s, d: zo.coordinate_duplicates(coords(s, d), "lon", "lat").select("id", "n_same"),
     "point_in_polygon": lambda s, d: zo.points_in_zones(view(s, d, POINTS.format("{customer}"), "customer"), rings(s, d), "x", "y").select("id", "zone"),
+    "polygon_checks": lambda s, d: zo.polygon_checks(shapes(s, d), ["adm1", "adm2"]).drop("ring"),
     "view_catalogue": lambda s, d: vi.describe(s, vi.register_views(s, d, [f"{n}.parquet" for n in CATALOGUED])).drop("keys"),
     "bins_headtail_fallback": _bins(lambda df: bi.headtail_breaks(df, "l_quantity", 8), "l_quantity", "lineitem"),
 }
+LOGIT = f"""d AS (SELECT adm2, year - avg(year) OVER (PARTITION BY adm2) AS x, avg(year) OVER (PARTITION BY adm2) AS m, round_even(pop / t, 6) AS y FROM (SELECT *, sum(pop) OVER (PARTITION BY adm1, year) AS t FROM p) WHERE year >= 1996),
+t AS (SELECT DISTINCT adm2, m, 0 AS i, 0::DOUBLE AS a, 0::DOUBLE AS b FROM d UNION ALL
+ SELECT adm2, m, i + 1, a + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1), b + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) FROM
+ (SELECT adm2, m, i, a, b, sum(q * (1 - q)) AS s0, sum(q * (1 - q) * x) AS s1, sum(q * (1 - q) * x * x) AS s2, sum(y - q) AS g0, sum((y - q) * x) AS g1
+  FROM (SELECT t.adm2, t.m, t.i, t.a, t.b, d.x, d.y, 1 / (1 + exp(-(t.a + t.b * d.x))) AS q FROM t JOIN d ON t.adm2 = d.adm2 WHERE t.i < 30) GROUP BY adm2, m, i, a, b))"""
 LM = f"f AS (SELECT adm2, regr_slope(pop, year) AS b, regr_intercept(pop, year) AS a FROM p WHERE year <= 1999 GROUP BY adm2), lm AS (SELECT adm2, CAST(y AS INTEGER) AS year, greatest(a + b * y, 0) AS pop FROM f, unnest({YEARS}) t(y))"
 CONST = f"co AS (SELECT adm2, year, pop FROM p WHERE year <= 1999 UNION ALL SELECT adm2, CAST(y AS INTEGER), arg_max(pop, year) FROM p, unnest({YEARS}) t(y) WHERE year <= 1999 GROUP BY adm2, y)"
 W = f"WITH p AS ({P})"
@@ -132,6 +147,7 @@ SELECT adm2, year, pop, FALSE AS filled FROM p WHERE year <= 1999 UNION ALL SELE
     "extrapolate_back": f"{W} SELECT adm2, year, pop, FALSE AS filled FROM p WHERE year BETWEEN 1996 AND 1999 UNION ALL SELECT adm2, 1995, round_even(arg_min(pop, year) / 1.25::DOUBLE, 0), TRUE FROM p WHERE year BETWEEN 1996 AND 1999 GROUP BY adm2",
     "trend_constant": f"{W}, {CONST} SELECT * FROM co",
     "trend_lm": f"{W}, {LM} SELECT adm2, year, round_even(pop, 2) AS pop FROM lm",
+    "trend_logit": f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, {LOGIT} SELECT adm2, CAST(v AS INTEGER) AS year, round_even(1 / (1 + exp(-(a + b * (v - m)))), 6) AS share FROM t, unnest({YEARS}) u(v) WHERE i = 30",
     "trend_hybrid": f"{W}, {LM}, {CONST} SELECT adm2, year, round_even(avg(pop), 2) AS pop FROM (SELECT adm2, year, pop FROM lm UNION ALL SELECT adm2, year, pop FROM co) GROUP BY 1, 2",
     "bins_quantile": _bins_sql(f"{_values('o_totalprice', 'orders')}, br AS (SELECT quantile_cont(x, {[i / 7 for i in range(1, 8)]}) AS b FROM k)", "o_totalprice", "orders"),
     "bins_hybrid": _bins_sql(f"{_values('o_totalprice', 'orders')}, br AS (SELECT list_concat(quantile_cont(x, {[i / 5 for i in range(1, 6)]}), ['inf'::DOUBLE]) AS b FROM k WHERE x <= (SELECT quantile_cont(x, 0.9::DOUBLE) FROM k))", "o_totalprice", "orders"),
@@ -157,6 +173,9 @@ k AS (SELECT *, count(*) OVER (PARTITION BY old) AS n_new, sum(p) OVER (PARTITIO
     "coord_flags": f"""WITH {CO} SELECT id, CASE WHEN lon IS NULL OR lat IS NULL THEN 'missing' WHEN lon = 0 AND lat = 0 THEN 'zero' WHEN lon BETWEEN 0 AND 60 AND lat BETWEEN 0 AND 30 THEN 'ok' WHEN lat BETWEEN 0 AND 60 AND lon BETWEEN 0 AND 30 THEN 'flipped' WHEN abs(lon) > 180 OR abs(lat) > 90 THEN 'out_of_range' ELSE 'outside' END AS coord_flag FROM co""",
     "coord_duplicates": f"WITH {CO}, n AS (SELECT id, count(*) OVER (PARTITION BY round_even(lon, 2), round_even(lat, 2)) AS n_same FROM co WHERE lon IS NOT NULL AND lat IS NOT NULL) SELECT * FROM n WHERE n_same > 1",
     "point_in_polygon": f"WITH p AS ({POINTS.format('customer')}) SELECT id, r_name AS zone FROM p JOIN region ON x > r_regionkey * 2 AND x < r_regionkey * 2 + 2 AND (y < 4 OR y < 6 - 2 * abs(x - r_regionkey * 2 - 1))",
+    "polygon_checks": """WITH b AS (SELECT s_suppkey AS id, 'A' || (s_suppkey % 7) AS adm1, CASE WHEN s_suppkey % 11 > 0 THEN CAST(s_suppkey % 5 AS VARCHAR) END AS adm2, s_suppkey % 6 AS k FROM supplier)
+SELECT id, adm1, adm2, CAST(CASE k WHEN 2 THEN 0 WHEN 1 THEN 3 ELSE 4 END AS BIGINT) AS n_points, CASE WHEN k > 2 THEN k * 3::DOUBLE WHEN k < 2 THEN 0::DOUBLE END AS area, CASE WHEN k > 2 THEN 'ok' WHEN k = 2 THEN 'missing' WHEN k = 1 THEN 'degenerate' ELSE 'crossing' END AS geometry,
+CASE WHEN k <> 2 THEN count(*) OVER (PARTITION BY k) END AS n_same_ring, count(*) OVER (PARTITION BY adm1, adm2) AS n_same_names, count(*) OVER (PARTITION BY k, adm1, adm2) > 1 AS duplicate FROM b""",
     "view_catalogue": " UNION ALL ".join(f"SELECT '{n}' AS view, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE {n})) + 1 AS n_columns FROM {n}" for n in CATALOGUED),  # and the file name
     "bins_headtail_fallback": _bins_sql(
         f"{_values('l_quantity', 'lineitem')}, {', '.join(_head(8))}, ht AS (SELECT list_append(list(m) FILTER (m IS NOT NULL), 'inf'::DOUBLE) AS b FROM ({' UNION ALL '.join(f'SELECT m FROM g{i}' for i in range(8))})), "

@@ -140,6 +140,34 @@ def test_ray_casting(spark):
     assert [r[0] for r in df.select(zo.in_polygon(F.col("x"), F.col("y"), ring)).collect()] == [True, False, True, False]
 
 
+def test_points_in_zones_of_all_sizes(spark):
+    import random
+
+    rng = random.Random(5)
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    zones = [(i, square(rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([0.01, 0.5, 1.0, 7.0, 64.0, 300.0]))) for i in range(60)] + [(99, square(3.0, 3.0, 0.0))]
+    points = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(400)] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, float("inf"), 0.0), (903, 3.0, 3.0)]
+    z = spark.createDataFrame(zones, "zone int, ring array<struct<x: double, y: double>>")
+    p = spark.createDataFrame([(*r, "kept") for r in points], "id int, lon double, lat double, _level string")
+    got = zo.points_in_zones(p, z, "lon", "lat")
+    assert got.columns == ["id", "lon", "lat", "_level", "zone"]
+    inside = lambda x, y, r: x is not None and r[0][0] < x < r[2][0] and r[0][1] < y < r[2][1]
+    assert sorted((r.id, r.zone) for r in got.collect()) == sorted((i, k) for i, x, y in points for k, r in zones if inside(x, y, r))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+    assert zo.points_in_zones(p, z.limit(0), "lon", "lat").count() == 0
+
+
+def test_polygon_checks(spark):
+    ring = "array<struct<x: double, y: double>>"
+    star = [(0.0, 3.0), (2.0, -2.0), (-3.0, 1.0), (3.0, 1.0), (-2.0, -2.0)]
+    rows = [("sq", [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), ("sq", [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), ("star", star), ("line", [(0.0, 0.0), (1.0, 0.0)]), ("none", None), ("empty", []), (None, [(0.0, 0.0), (None, 0.0), (1.0, 1.0)])]
+    rows.append(("dent", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]))
+    got = {(r.n, r.n_points): r for r in zo.polygon_checks(spark.createDataFrame(rows, f"n string, ring {ring}"), ["n"]).collect()}
+    assert {k[0]: r.geometry for k, r in got.items()} == {"sq": "ok", "star": "crossing", "line": "degenerate", "none": "missing", "empty": "missing", None: "degenerate", "dent": "ok"}
+    assert got["sq", 4].duplicate and got["sq", 4].n_same_ring == 2 and got["sq", 4].area == 4.0 and got["dent", 5].area == 10.0
+    assert not got["none", 0].duplicate and got["none", 0].n_same_ring is None
+
+
 def test_crosswalk_split(spark):
     df = spark.createDataFrame([("o", "a", 100.0, 51.0), ("o", "b", 100.0, 49.0), ("o", "c", 100.0, 0.05)], "old string, new string, area_old double, area_shared double")
     got = zo.crosswalk(df).orderBy("new").collect()
