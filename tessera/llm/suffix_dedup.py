@@ -291,8 +291,9 @@ def _named(texts: DataFrame, length: int, gram: int, symbols) -> tuple[DataFrame
     twice = staged(twice, "classes")
     whole = named.join(twice.where("n > 1").select("h", "u"), ["h", "u"], "left_semi").select("key", F.col("s").alias("first"), F.col("l").alias("last"))
     open_ = twice.where("n = 1")
-    apart = twice.join(open_.groupBy("h").agg(F.lit(1).alias("x")), "h", "left_semi")
-    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), (named, twice)
+    still = staged(open_.select("h").distinct(), "open-names")  # a plain side here too
+    apart = twice.join(still, "h", "left_semi")
+    return whole, apart.select(F.col("one.key").alias("key"), F.struct("one.s", "one.e", "one.p", (F.col("n") == 1).alias("own")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), (named, twice, still)
 
 
 def distinct_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
