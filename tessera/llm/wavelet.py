@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,11 +26,22 @@ from .files import read_file, write_file
 
 MAGIC = b"WVMX0001"
 BLOCK = 512
+STEP = 1 << 15  # bits of a plane parted at once, few enough for a core's cache
 SHARD_TOKENS = 4_000_000
 END_ID = 1
 READERS = 4096  # tasks at most that read shards, one shard or more each
 
 
+def _parts(one: np.ndarray, zeros: int):
+    """For each STEP bits of a plane: their start, the places of ones and zeros in them, and where the plane's parting puts the first zero and the first one."""
+    a, b = 0, zeros
+    for at in range(0, len(one), STEP):
+        bits = one[at : at + STEP]
+        ones, rest = np.flatnonzero(bits), np.flatnonzero(~bits)
+        yield at, ones, rest, a, b
+        a, b = a + len(rest), b + len(ones)
+
+
 def _planes(ids: np.ndarray, bits: int):
     """(packed bits, zeros) from the highest bit down; each plane leaves the sequence parted, zeros first."""
     ids, parted = ids.copy(), np.empty_like(ids)
@@ -37,8 +49,9 @@ def _planes(ids: np.ndarray, bits: int):
         one = (ids & ids.dtype.type(1 << b)) != 0
         zeros = len(ids) - int(np.count_nonzero(one))
         yield np.packbits(one, bitorder="little"), zeros
-        np.compress(one, ids, out=parted[zeros:])
-        np.compress(np.logical_not(one, out=one), ids, out=parted[:zeros])
+        for at, ones, rest, a, b in _parts(one, zeros):
+            part = ids[at : at + STEP]
+            parted[a : a + len(rest)], parted[b : b + len(ones)] = part[rest], part[ones]
         ids, parted = parted, ids
 
 
@@ -140,13 +153,15 @@ class WaveletMatrix:
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(before[block])])
 
     def all(self) -> np.ndarray:
-        """The whole sequence: planes are undone from the last, each by one masked write."""
+        """The whole sequence: planes are undone from the last."""
         ids = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z, back = self.zeros[level], np.empty_like(ids)
-            back[~one] = ids[:z]
-            back[one] = ids[z:] | ids.dtype.type(1 << (len(self.planes) - 1 - level))
+            ids[z:] |= ids.dtype.type(1 << (len(self.planes) - 1 - level))
+            for at, ones, rest, a, b in _parts(one, z):
+                part = back[at : at + STEP]
+                part[rest], part[ones] = ids[a : a + len(rest)], ids[b : b + len(ones)]
             ids = back
         return ids
 
@@ -171,9 +186,8 @@ def open_shard(data: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, WaveletMatri
 
 #: Letters that are one letter in NFC, alone and as small letters, and that no letter beside them changes.
 LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u05d0-\u05ea\u0621-\u064a\u0904-\u0939\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
-_WORD = re.compile(f"[{LETTERS}]+")
-_TIGHT = re.compile(f"[^{LETTERS}0-9 \t\n\r][.,] ")
-_MARK = re.compile("[\u0300-\u036f]")
+_TIGHT = f"[^{LETTERS}0-9 \t\n\r][.,] "
+_MARK = "[\u0300-\u036f]"
 #: The pipeline before the merges for which texts may be cut into runs.
 SPLITTABLE = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -213,46 +227,53 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
 
     @staticmethod
-    def _runs(text: str | None) -> list[str]:
-        if not text:
-            return [""]
-        if "<|" not in text and not _MARK.search(text):
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        text = text.replace("\n", " ")
-        if not _TIGHT.search(text):  # every stop or comma before a space follows a space, a letter or a digit
-            text = text.replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
+    def _runs(texts: pa.LargeStringArray) -> pa.LargeListArray:
+        special = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _MARK))
+        texts = pc.replace_substring(pc.if_else(special, texts, pc.ascii_lower(texts)), "\n", " ")
+        tight = pc.match_substring_regex(texts, _TIGHT)  # elsewhere every stop or comma before a space follows a space, a letter or a digit
+        apart = pc.replace_substring(pc.replace_substring(texts, ". ", " . "), ", ", " , ")
+        return pc.split_pattern(pc.if_else(tight, texts, apart), " ")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(got.ids, self.kind).tobytes() for got in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, runs: set[str]) -> None:
-        known = self.known
-        before = self.before
+        known, before = self.known, self.before
         old = {r: before[r] for r in runs if r in before} if before else {}
         known.update(old)
-        new = runs.difference(old)
-        words = list(filter(_WORD.fullmatch, new))
-        # each of those is one word for the library, so many can be one text
-        size = self.kind.itemsize
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
+        new, size = [*runs.difference(old)], self.kind.itemsize
+        # many runs are encoded as one text, since cutting a text at spaces is what gave them; each token belongs to the run in which it begins
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(r) + 1 for r in part)])
+            cut = (np.searchsorted(np.fromiter((a for a, _ in got.offsets), np.int64, len(got)), begins) * size).tolist()
             ids = np.array(got.ids, self.kind).tobytes()
-            cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1)) * size).tolist()
             known.update(zip(part, map(ids.__getitem__, map(slice, cut, cut[1:]))))
-        rest = list(new.difference(words))
-        known.update(zip(rest, self._whole(rest)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.runs:
             return self._whole([t or "" for t in texts])
         if len(self.known) > self.remembered:
             self.known, self.before = {}, self.known
-        runs = [self._runs(t) for t in texts]
-        self._learn(set().union(*runs).difference(self.known))
-        find = self.known.__getitem__
-        return [b"".join(map(find, x)) for x in runs]
+        runs = self._runs(pa.array([t or "" for t in texts], pa.large_string()))
+        codes = runs.values.dictionary_encode()  # each distinct run is looked up once, all else is array work
+        distinct = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.known.get, distinct)]
+        new = [i for i, x in enumerate(found) if x is None]
+        self._learn({distinct[i] for i in new})
+        for i in new:
+            found[i] = self.known[distinct[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        codes = codes.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        # the place of each id among those of the distinct runs: where its run's begin, and how far into the run it is
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], counts)
+        places += np.arange(len(places))
+        ids = np.frombuffer(b"".join(found), self.kind)[places].tobytes()
+        cut = (ends[runs.offsets.to_numpy()] * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -264,6 +285,19 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+PIECE_BYTES = 4_000_000
+
+
+def _pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES):
+    """The batch's rows in order, cut where a piece's texts reach ``size`` bytes: so much is encoded at once, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 
 
@@ -280,8 +314,7 @@ def _write(folder: str, path: str, shard_tokens: int):
             return pa.record_batch([pa.array([x], k) for x, k in zip((part, seq, at, len(ids), int(lengths.sum())), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "path", "docs", "tokens"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
+            for piece in _pieces(batch):
                 for i, tokens in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
                     ids.append(i)
                     held.append(tokens + end)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,3 +103,40 @@ def test_smallest_id_and_null(spark, tmp_path):
     docs = spark.createDataFrame([(low, "a"), (None, "b c"), (3, None)], "doc_id long, text string")
     got = wm.read_shards(wm.write_shards(docs, f"file://{tmp_path}/w")).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 3), (low, 3, 2), (3, 5, 1)]
+
+
+def test_new_runs_are_encoded_together():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode(self, text, **kinds):
+            self.texts += 1
+            return self.tokenizer.encode(text, **kinds)
+
+        def encode_batch(self, texts, **kinds):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch(texts, **kinds)
+
+    texts = [f"w{i}!! \u0301x{i}? {i}-{i} \u00c9{i}). End\u0130\u0327{i}\t\u0958. <|endoftext|>{i}  " for i in range(300)] + [None, "", " "]
+    encode = wm.Encoder(PATH)
+    encode.tokenizer = counted = Counted(encode.tokenizer)
+    first = encode(texts)
+    assert counted.texts == 1  # not one for each run with marks or digits
+    assert encode(texts[::-1])[::-1] == first and counted.texts == 1
+    whole = Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u2").tolist() for x in first] == [w.ids for w in whole]
+
+
+def test_pieces_hold_all_rows_in_order():
+    texts = ["x" * 50, None, "", "yy", "z" * 7, "\u00e9" * 3, "w"]
+    batch = pa.record_batch([pa.array(range(9)), pa.array(["q" * 99, "q", *texts])], ["id", "text"]).slice(2)
+    assert [p.column(1).to_pylist() for p in wm._pieces(batch, 9)] == [texts[:1], texts[1:5], texts[5:]]
+    assert list(wm._pieces(batch.slice(0, 0), 9)) == []
+
+
+@pytest.mark.parametrize("n", [32_767, 32_768, 65_541])
+def test_planes_longer_than_a_step(n):
+    ids = np.random.default_rng(n).integers(0, 49_408, n)
+    m = wm.WaveletMatrix.of(ids, 16)
+    assert (m.all() == ids).all() and (m.access(np.arange(0, n, 97)) == ids[::97]).all()
