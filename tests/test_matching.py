@@ -15,3 +15,19 @@ def test_coverage_counts_a_lookup_row_once(spark):
     lookup = spark.createDataFrame([("a", "X"), ("a", "X"), ("a", "X"), ("b", "X"), ("a", "Y"), ("a", "Z"), ("a", None)], "adm2 string, hf_mfl string")
     matched = spark.createDataFrame([("X",), ("Y",), (None,)], "hf_mfl string")
     assert tuple(ma.coverage(matched, lookup).first()) == (4, 3, 1, 25.0)
+
+
+def made(al, longest, n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(al) for _ in range(r.randint(1, longest))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("al,longest", [("AB", 4), ("ABCDE01", 20), ("ABC01", 90)])
+def test_nearest_names_are_those_of_all_pairs(spark, monkeypatch, al, longest):
+    monkeypatch.setattr(ma, "SIDE", 7)  # several tiles in a block
+    names, known = made(al, longest, 25, 1), made(al, longest, 30, 2)
+    rows = lambda x: [(b, n) for b in "pq" for n in x] + [("only" + str(len(x)), x[0])]
+    df = ma.nearest_names(spark.createDataFrame(rows(names) * 2, "block string, name string"), spark.createDataFrame(rows(known) * 3, "block string, candidate string"))
+    got = sorted(tuple(r) for r in df.collect())
+    best = {n: sorted((_edit(n, c, False), c) for c in set(known))[:3] for n in set(names)}
+    assert got == sorted((b, n, c, d, i) for b in "pq" for n, found in best.items() for i, (d, c) in enumerate(found, 1))
