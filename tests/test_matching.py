@@ -31,3 +31,39 @@ def test_nearest_names_are_those_of_all_pairs(spark, monkeypatch, al, longest):
     got = sorted(tuple(r) for r in df.collect())
     best = {n: sorted((_edit(n, c, False), c) for c in set(known))[:3] for n in set(names)}
     assert got == sorted((b, n, c, d, i) for b in "pq" for n, found in best.items() for i, (d, c) in enumerate(found, 1))
+
+
+def test_jaro_is_the_sql_s():
+    pairs = [(a, b) for al, k in (("AB", 6), ("AB01 ", 30), ("0123456789", 20)) for a, b in zip(made(al, k, 500, 3), made(al, k, 500, 4))]
+    frame = pd.DataFrame(pairs, columns=["a", "b"])
+    con = duckdb.connect()
+    con.register("frame", frame)
+    assert [tx.jaro(a, b) for a, b in pairs] == [r[0] for r in con.execute("SELECT jaro_similarity(a, b) FROM frame").fetchall()]
+
+
+@pytest.mark.parametrize(
+    "threshold,one,name,known,want",
+    [
+        (85.0, False, "Supplier#00005305", "Supplier#000005325", ("fuzzy", 93)),
+        (95.0, False, "Supplier#00000640", "Supplier#000000640", ("fuzzy", 95)),
+        (60.0, True, "Suplier#000004084", "Supplier#000000084", ("fuzzy", 91)),
+    ],
+)
+def test_odd_transpositions_in_matching(spark, threshold, one, name, known, want):
+    got = ma.match_facilities(spark.createDataFrame([("a", "1", name)], "adm2 string, uid string, hf string"), spark.createDataFrame([("a", known)], "adm2 string, hf_mfl string"), ["adm2"], threshold, one).first()
+    assert (got.match_method, got.match_pct) == want
+
+
+def test_fuzzy_matches_are_the_best_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ma, "SIDE", 9)
+    names, known = sorted(set(made("ABC01", 9, 40, 5))), sorted(set(made("ABC01", 9, 50, 6)))
+    names = [n for n in names if n not in known]
+    admin = lambda x: [(a, *r) for a in ("p", None) for r in x]
+    target = spark.createDataFrame(admin([(n, n) for n in names]), "adm2 string, uid string, hf string")
+    df = ma.match_facilities(target, spark.createDataFrame(admin([(n,) for n in known]), "adm2 string, hf_mfl string"), ["adm2"], 70.0, False)
+    got = {(r.adm2, r.uid): r.hf_mfl for r in df.collect()}
+    best = {}
+    for n in names:
+        s, c = min((-50 * tx.jaro(n, c) - 50 * max(0, 1 - _edit(n, c, False) / max(len(n), len(c))), c) for c in known)
+        best[n] = c if -s >= 70 else None
+    assert got == {(a, n): c for a in ("p", None) for n, c in best.items()} and any(best.values()) and not all(best.values())
