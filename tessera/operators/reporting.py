@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import all_of, any_of, rate, require
-from .activity import Roles, active_months
+from ..functions.semantics import all_of, any_of, null_safe_join, rate, require
+from .activity import Roles, active_spans
 
 
 def active_rows(df: DataFrame, roles: Roles, key_indicators: list[str], method: int = 3, window: int = 6) -> DataFrame:
     """Rows of months in which their facility is active; all rows where no key indicator is named."""
     if not key_indicators:
         return df
-    keys = active_months(df, roles, key_indicators, method, window).select(F.col("hf").alias("_hf"), F.col("month").alias("_m"))
-    return df.join(keys, (F.col(roles.hf) == F.col("_hf")) & (F.trunc(roles.date, "MM") == F.col("_m")), "left_semi")
+    spans = active_spans(df, roles, key_indicators, method, window).select(F.col("hf").alias("_hf"), F.col("start_month").alias("_from"), F.col("end_month").alias("_to"))
+    return df.join(spans, (F.col(roles.hf) == F.col("_hf")) & F.trunc(roles.date, "MM").between(F.col("_from"), F.col("_to")), "left_semi")
 
 
 def _with_rates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,13 +26,21 @@ def _group(x: str, y: str | None) -> list[str]:
     return [x, y] if y else [x]
 
 
+def _facility_rates(df: DataFrame, keys: list[str], hf: str, given: dict[str, Column]) -> DataFrame:
+    """``exp`` and a count for each condition: distinct facilities with a row, and with one that meets it; one row per facility first, nulls not counted."""
+    one = df.groupBy(*keys, hf).agg(*(F.bool_or(c).alias(f"_given{i}") for i, c in enumerate(given.values())))
+    known = F.col(hf).isNotNull()
+    return one.groupBy(*keys).agg(F.count(hf).alias("exp"), *(F.count(F.when(known & F.col(f"_given{i}"), 1)).alias(name) for i, name in enumerate(given)))
+
+
 def rate_per_variable(df: DataFrame, variables: list[str], x: str, roles: Roles, y: str | None = None, key_indicators: list[str] | None = None, method: int = 3, window: int = 6) -> DataFrame:
     """For each variable: distinct facilities with a value, of distinct facilities with a row."""
     require(df, [x, roles.hf, *variables])
     rows = active_rows(df, roles, key_indicators or variables, method, window)
-    long = rows.select(*_group(x, y), F.col(roles.hf).alias("hf"), *(F.col(v).cast("double").alias(v) for v in variables)).unpivot([*_group(x, y), "hf"], variables, "variable", "value")
-    keys = [*_group(x, y), "variable"]
-    return _with_rates(long.groupBy(*keys).agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("hf"))).alias("rep"), F.count_distinct("hf").alias("exp")), keys)
+    keys = _group(x, y)
+    out = _facility_rates(rows, keys, roles.hf, {f"_n{i}": F.col(v).isNotNull() for i, v in enumerate(variables)})
+    counts = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"_n{i}").alias("rep")) for i, v in enumerate(variables)))
+    return _with_rates(out.select(*keys, "exp", F.inline(counts)), [*keys, "variable"])
 
 
 def _given(variables: list[str], require_all: bool) -> Column:
@@ -43,8 +51,7 @@ def rate_combined(df: DataFrame, variables: list[str], x: str, roles: Roles, y:
     """Distinct facilities with any (or all) of the variables in a row, of distinct facilities with a row."""
     rows = active_rows(df, roles, key_indicators or variables, method, window)
     keys = _group(x, y)
-    out = rows.groupBy(*keys).agg(F.count_distinct(F.when(_given(variables, require_all), F.col(roles.hf))).alias("rep"), F.count_distinct(roles.hf).alias("exp"))
-    return _with_rates(out, keys)
+    return _with_rates(_facility_rates(rows, keys, roles.hf, {"rep": _given(variables, require_all)}), keys)
 
 
 def rate_of_rows(df: DataFrame, variables: list[str], x: str, y: str | None = None) -> DataFrame:
@@ -70,8 +77,8 @@ def rate_weighted(df: DataFrame, variables: list[str], weight_var: str, x: str,
         group = sized.groupBy(y).agg(F.median("_typ").alias("_med"))
         sized = sized.join(group, y).withColumn("_typ", F.coalesce("_typ", "_med")).drop("_med")
     sized = sized.crossJoin(F.broadcast(whole)).withColumn("_typ", F.coalesce("_typ", "_all")).drop("_all")
-    total = F.sum("_typ").over(Window.partitionBy(x, y))
-    sized = sized.withColumn("_w", F.when(total > 0, F.col("_typ") / total).otherwise(0.0))
+    sized = null_safe_join(sized, sized.groupBy(x, y).agg(F.sum("_typ").alias("_total")), [x, y])
+    sized = sized.withColumn("_w", F.when(F.col("_total") > 0, F.col("_typ") / F.col("_total")).otherwise(0.0)).drop("_total")
     rows = active_rows(sized, roles, key_indicators or variables, method, window)
     one = rows.groupBy(x, y, roles.hf).agg(F.bool_or(_given(variables, False)).alias("given"), F.avg("_w").alias("w"), F.avg(weight_var).alias("size"))
     got = one.groupBy(x, y).agg(
@@ -90,8 +97,7 @@ def rate_by_dates(df: DataFrame, variable: str, x: str, roles: Roles, opening: s
     """Facilities count from their opening to their closing date, both included; a null bound is open."""
     inside = (F.col(opening).isNull() | (F.col(roles.date) >= F.col(opening))) & (F.col(closing).isNull() | (F.col(roles.date) <= F.col(closing)))
     keys = _group(x, y)
-    out = df.where(inside).groupBy(*keys).agg(F.count_distinct(F.when(F.col(variable).isNotNull(), F.col(roles.hf))).alias("rep"), F.count_distinct(roles.hf).alias("exp"))
-    return _with_rates(out, keys)
+    return _with_rates(_facility_rates(df.where(inside), keys, roles.hf, {"rep": F.col(variable).isNotNull()}), keys)
 
 
 def active_share_by_dates(df: DataFrame, x: str, roles: Roles, opening: str, closing: str, y: str | None = None) -> DataFrame:
