@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INF = float("inf")
+BUCKETS = 1 << 16
 
 
 def _known(df: DataFrame, x: str) -> DataFrame:
@@ -14,17 +15,41 @@ def _known(df: DataFrame, x: str) -> DataFrame:
     return df.select(F.col(x).cast("double").alias("x")).where("x is not null").crossJoin(F.broadcast(some)).where("x <> 0 or _k = 0").select("x")
 
 
+def percentiles(df: DataFrame, x: str, points: list[float], name: str) -> DataFrame:
+    """One row with the exact percentiles of a double column without nulls, interpolated, as an array; null where there are no rows.
+
+    What ``F.percentile`` gives, which holds all distinct values in one task. Here values fall into buckets of equal width, whose
+    counts tell where each rank lies; only values of those buckets are counted one by one, in a sort that can spill.
+    """
+    span = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count("*").alias("_n"))
+    share = (F.col(x) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    dealt = df.crossJoin(F.broadcast(span)).select(F.col(x).alias("_x"), F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * BUCKETS).alias("_b"))
+    before = lambda by: F.coalesce(F.sum("_k").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_k")).withColumn("_from", before(Window.orderBy("_b")))  # at most BUCKETS + 1 rows
+    at = span.where("_n > 0").select("_n", F.posexplode(F.array(*map(F.lit, points))).alias("_i", "_p")).withColumn("_at", (F.col("_n") - 1) * F.col("_p"))
+    ranks = at.select("_i", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank"))
+    within = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_k"))
+    used = sizes.join(F.broadcast(ranks), within(F.col("_rank"))).select("_b", "_from").distinct()
+    near = dealt.join(F.broadcast(used), "_b").groupBy("_b", "_from", "_x").agg(F.count("*").alias("_k"))
+    near = near.withColumn("_from", F.col("_from") + before(Window.partitionBy("_b").orderBy("_x")))
+    found = near.join(F.broadcast(ranks), within(F.col("_rank"))).groupBy("_i", "_at").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    between = (F.ceil("_at") - F.col("_at")) * F.col("_low") + (F.col("_at") - F.floor("_at")) * F.col("_high")
+    value = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between)
+    made = found.agg(F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))).alias("_all"))
+    return made.select(F.when(F.size("_all") > 0, F.col("_all")["v"]).alias(name))
+
+
 def quantile_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
     """One row with the upper bounds of ``bins`` + 1 bins of equal counts."""
-    return _known(df, x).agg(F.percentile("x", [i / (bins + 1) for i in range(1, bins + 2)]).alias("breaks"))
+    return percentiles(_known(df, x), "x", [i / (bins + 1) for i in range(1, bins + 2)], "breaks")
 
 
 def hybrid_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
     """Quantiles of the bulk (up to the 90th percentile), then everything above."""
     known = _known(df, x)
-    top = known.agg(F.percentile("x", 0.9).alias("q"))
-    bulk = known.crossJoin(F.broadcast(top)).where("x <= q")
-    return bulk.agg(F.percentile("x", [i / bins for i in range(1, bins + 1)]).alias("b")).select(F.concat("b", F.array(F.lit(INF))).alias("breaks"))
+    top = percentiles(known, "x", [0.9], "q").select(F.col("q")[0].alias("q"))
+    bulk = known.crossJoin(F.broadcast(top)).where("x <= q").select("x")
+    return percentiles(bulk, "x", [i / bins for i in range(1, bins + 1)], "b").select(F.concat("b", F.array(F.lit(INF))).alias("breaks"))
 
 
 def headtail_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
@@ -46,9 +71,9 @@ def headtail_breaks(df: DataFrame, x: str, bins: int) -> DataFrame:
     found = [*sorted(set(found)), INF]
     if len(found) >= bins or len(found) == 1:
         return df.sparkSession.range(1).select(F.array(*map(F.lit, found)).alias("breaks"))
-    top = known.agg(F.percentile("x", 0.9).alias("q"))
-    bulk = known.crossJoin(F.broadcast(top)).where("x <= q")
-    return bulk.agg(F.percentile("x", [i / (bins - 1) for i in range(1, bins)]).alias("b")).select(F.array_distinct(F.concat("b", F.array(F.lit(INF)))).alias("breaks"))
+    top = percentiles(known, "x", [0.9], "q").select(F.col("q")[0].alias("q"))
+    bulk = known.crossJoin(F.broadcast(top)).where("x <= q").select("x")
+    return percentiles(bulk, "x", [i / (bins - 1) for i in range(1, bins)], "b").select(F.array_distinct(F.concat("b", F.array(F.lit(INF)))).alias("breaks"))
 
 
 def shape(df: DataFrame, x: str) -> DataFrame:
@@ -58,7 +83,7 @@ def shape(df: DataFrame, x: str) -> DataFrame:
     """
     zero = df.where(F.col(x).isNotNull()).agg((F.count(F.when(F.col(x) == 0, 1)) / F.count("*")).alias("prop_zero"))
     known = _known(df, x)
-    q = known.agg(F.percentile("x", 0.5).alias("q50"), F.percentile("x", 0.9).alias("q90"), F.min("x").alias("low"))
+    q = percentiles(known, "x", [0.5, 0.9], "q").select(F.col("q")[0].alias("q50"), F.col("q")[1].alias("q90")).crossJoin(F.broadcast(known.agg(F.min("x").alias("low"))))
     tail = known.crossJoin(F.broadcast(q)).groupBy("q50", "q90", "low").agg((F.sum(F.when(F.col("x") > F.col("q90"), F.col("x"))) / F.sum("x")).alias("t"))
     plain = (F.col("low") < 0) | (F.col("q50") <= 0)
     got = tail.crossJoin(F.broadcast(zero)).select("prop_zero", "q50", "q90", F.when(plain, 1.0).otherwise(F.col("q90") / F.col("q50")).alias("ratio"), F.when(plain, 0.0).otherwise(F.coalesce("t", F.lit(0.0))).alias("tail_share"))
